@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.embedding_dedup import embedding_dedup
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.ngram_join import ngram_links
+from tessella.llm.quality import quality
 from tessella.llm.url_filter import Rule, url_filter
 
 URL_RULES = [
@@ -23,6 +25,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(_table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -35,11 +45,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ngram_jaccard_join, op6_url_filters, op7_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op6_url_filters, op7_exact_dedup)}
 
 _RULE_ROWS = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in URL_RULES)
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (
+  SELECT a.id AS x, b.id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.id <> b.id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+r AS (SELECT id, id AS root FROM v UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT c.id AS vec_id, (SELECT count(*) FROM l WHERE l.x = c.id) AS n_links, c.component_id, c.id = c.component_id AS kept FROM c
+""",
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws

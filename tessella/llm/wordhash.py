@@ -48,12 +48,20 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _hash_buffer(buf: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words of a buffer."""
+#: Kinds of bytes for tokens(): 0 white space, 1 letters, digits, ``_`` and all beyond ASCII, 2 the rest.
+_KIND = np.full(256, 2, np.int8)
+_KIND[_SPACE] = 0
+_KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+
+
+def _hash_buffer(buf: bytes, lower: bool, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the maximal runs of bytes of one kind other than 0."""
     raw = np.frombuffer(buf, np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
+    kinds = kind[raw]
+    start = np.flatnonzero(np.diff(kinds, prepend=0))
+    end = np.append(start[1:], len(raw))
+    some = kinds[start] > 0
+    start, end = start[some], end[some]
     power, inverse = _power(len(raw) + 1)
     value = _TABLE[_LOWER[raw] if lower else raw]
     value *= power[: len(raw)]
@@ -94,8 +102,17 @@ def _parts(data: bytes):
     yield data[at:]
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts, in order, and each text's number of words."""
+    return _hashed(texts, True, (~_SPACE).astype(np.int8))
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for runs of word characters and runs of other characters that are not white space."""
+    return _hashed(texts, True, _KIND)
+
+
+def _hashed(texts: list[bytes], lower: bool, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = [], np.zeros(len(texts), np.int64)
     group: list[tuple[int, bytes]] = []
     size = 0
@@ -103,7 +120,7 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     def flush() -> None:
         nonlocal size
         if group:
-            start, h = _hash_buffer(b"\n".join(x for _, x in group), lower)
+            start, h = _hash_buffer(b"\n".join(x for _, x in group), lower, kind)
             ends = np.cumsum([len(x) + 1 for _, x in group])
             np.add.at(counts, [k for k, _ in group], np.diff(np.searchsorted(start, ends), prepend=0))
             hashes.append(h)

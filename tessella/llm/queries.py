@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.embedding_dedup import embedding_dedup
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.ngram_join import ngram_links
+from tessella.llm.packing import Capacity, pack_documents
+from tessella.llm.pii import pii_scan
 from tessella.llm.quality import quality
+from tessella.llm.secret_scan import secret_scan
+from tessella.llm.sentencepieces import encode_digest
+from tessella.llm.span_dedup import span_dedup
 from tessella.llm.url_filter import Rule, url_filter
 
 URL_RULES = [
@@ -37,6 +43,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(_table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Capacity(tokens=2048))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -45,7 +59,33 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op6_url_filters, op7_exact_dedup)}
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup(_table(spark, sf_dir, "documents"), run=2, words=12).drop("text")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_quality_classifier,
+        op3_ngram_jaccard_join,
+        op4_best_fit_packing,
+        op5_sentencepiece,
+        op6_url_filters,
+        op7_exact_dedup,
+        op8_secret_scans,
+        op9_substring_dedup,
+        op10_pii,
+    )
+}
 
 _RULE_ROWS = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in URL_RULES)
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessella.llm.common import components, staged
+from tessella.llm.common import components, staged, unstage
 from tessella.llm.wordhash import by_doc, mix, shingles, slices
 
 #: Counters of the frequency sketch: a fixed 2 MB, whatever the corpus.
@@ -18,9 +18,11 @@ _CHUNK = 1 << 12
 #: Bits of the map of candidate documents that a later scan uses to skip the others: a fixed 2 MB.
 MAP_BITS = 24
 #: Shingles per document are also counted in so many hashed classes, for the suffix filter.
-CLASSES = 32
-#: Documents that share an n-gram are compared inside one join row set up to this many, beyond in blocks.
-BLOCK = 128
+CLASSES, COARSE = 256, 32
+#: An n-gram that the sketch counts no more often than this (and four mean counters) may be grouped in one task.
+HOT_ROWS, SALTS = 20_000, 64
+#: Documents that share an n-gram are paired by a join if they are few, and compared in blocks if they are more.
+FEW, BLOCK = 24, 256
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -29,7 +31,17 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def _classes(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     at = doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=n * CLASSES), 65535).astype("<u2").reshape(n, CLASSES)
+    return np.minimum(np.bincount(at, minlength=n * CLASSES), 255).astype(np.uint8).reshape(n, CLASSES)
+
+
+def _counts(classes) -> np.ndarray:
+    return np.frombuffer(b"".join(classes), np.uint8).reshape(-1, CLASSES).astype(np.int32)
+
+
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Most shingles that two sets can share, by their counts in each class; a full counter says nothing."""
+    low = np.minimum(x, y)
+    return np.where((low == 255).any(-1), 1 << 30, low.sum(-1))
 
 
 def _profile(width: int):
@@ -81,24 +93,26 @@ def _need(na, nb, percent: int):
 
 
 def _prefixes(sketch, width: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_()))])
 
     def run(batches):
+        counts = sketch.value
+        often = HOT_ROWS + 4 * counts.sum() // len(counts)
         for batch in (part for whole in batches for part in slices(whole)):
             h, n = shingles(_bytes(batch.column(1)), width)
             doc = np.repeat(np.arange(len(n)), n)
-            h = h[_rare_first(h, doc, sketch.value)]
+            h = h[_rare_first(h, doc, counts)]
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             # A partner of the least size shares at least percent% of this set.
             length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             keep = place < np.repeat(length, n)
             offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[keep].view(np.int64)))
-            some = pa.array(n > 0)
-            out = pa.record_batch([batch.column(0), pa.array(n.astype(np.int32)), lists], schema=schema)
-            yield out.filter(some)
+            h = h[keep]
+            hot = counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > often
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (h.view(np.int64), hot)]
+            yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int32)), *lists], schema=schema).filter(pa.array(n > 0))
 
-    return run, "doc_id long, n int, prefix array<long>"
+    return run, "doc_id long, n int, prefix array<long>, hot array<boolean>"
 
 
 def _sets(bitmap, width: int):
@@ -144,9 +158,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 @F.pandas_udf(LongType())
 def _class_bound(a: pd.Series, b: pd.Series) -> pd.Series:
     """Most shingles two sets can share, from their counts by hashed class."""
-    x, y = (np.frombuffer(b"".join(s), "<u2").reshape(-1, CLASSES).astype(np.int64) for s in (a, b))
-    low = np.minimum(x, y)
-    return pd.Series(np.where(low == 65535, 1 << 40, low).sum(1))
+    return pd.Series(_bound(_counts(a), _counts(b)), dtype="int64")
 
 
 @F.pandas_udf(LongType())
@@ -160,7 +172,9 @@ def _block_pairs(percent: int):
         """Pairs of one pair of blocks of an n-gram's documents that pass all filters."""
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        ca, cb = (np.frombuffer(b"".join(x["classes"]), "<u2").reshape(-1, CLASSES).astype(np.int64) for x in (a, b))
+        ca, cb = _counts(a["classes"]), _counts(b["classes"])
+        full = (cb == 255).any(1)
+        sa, sb = (x.reshape(len(x), COARSE, -1).sum(2) for x in (ca, cb))
         na, nb = a["n"].to_numpy(), b["n"].to_numpy()
         pa_, pb = a["pos"].to_numpy(), b["pos"].to_numpy()
         ia, ib = a["doc_id"].to_numpy(), b["doc_id"].to_numpy()
@@ -169,10 +183,12 @@ def _block_pairs(percent: int):
             need = _need(na[k], nb, percent)
             ok = (a["comp"].to_numpy()[k] != b["comp"].to_numpy()) & (100 * np.minimum(na[k], nb) >= percent * np.maximum(na[k], nb))
             ok &= np.minimum(pa_[k], pb) + 1 + np.minimum(na[k] - pa_[k] - 1, nb - pb - 1) >= need
-            low = np.minimum(ca[k], cb)
-            ok &= np.where(low == 65535, 1 << 40, low).sum(1) >= need
             if i == j:
                 ok &= np.arange(len(b)) > k
+            # The suffix filter: first on few classes, then on all of them for the pairs that are left.
+            ok &= full | (np.minimum(sa[k], sb).sum(1) >= need)
+            at = np.flatnonzero(ok)
+            ok[at] = _bound(ca[k], cb[at]) >= need[at]
             out.append(np.column_stack((np.full(ok.sum(), ia[k]), ib[ok])))
         both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": both.min(1), "b": both.max(1)})
@@ -232,16 +248,26 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     run, schema = _prefixes(sketch, width, percent)
     prefix = docs.where("doc_id is not null").mapInArrow(run, schema).join(reps, "doc_id")
-    prefix = staged(prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")), "prefix")
-
+    prefix = prefix.select("doc_id", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
+    # One shuffle of all prefixes. The sketch bounds a group's rows; n-grams that may have more are salted.
+    salt = F.when(F.col("x.hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    prefix = prefix.select(F.col("x.prefix").alias("token"), salt.alias("salt"), "doc_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    group = Window.partitionBy("token", "salt")
+    mine = F.struct("doc_id", "at")
+    salted = F.struct(F.xxhash64(F.col("doc_id"), F.lit(1)).alias("h"), "doc_id", "at")
+    hubs = {"c": F.count(F.lit(1)), "h0": F.min(mine), "h1": F.min(salted), "h2": F.max(salted)}
     # Rounds of hubs: each document is compared with a few of those it shares an n-gram with.
-    mine = F.struct("doc_id", "n", "pos")
-    salted = lambda s: F.struct(F.xxhash64(F.col("doc_id"), F.lit(s)).alias("h"), "doc_id", "n", "pos")
-    hubs = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(mine).alias("h0"), F.min(salted(1)).alias("h1"), F.max(salted(1)).alias("h2")).where("c > 1")
-    shared = staged(prefix.join(hubs, "token"), "shared")
+    found = staged(prefix.withColumns({k: v.over(group) for k, v in hubs.items()}).where("c > 1 or salt > 0"), "shared")
+    hot = found.where("salt > 0").drop(*hubs)
+    hot = hot.join(hot.groupBy("token").agg(*[v.alias(k) for k, v in hubs.items()]).where("c > 1"), "token")
+    shared = found.where("salt = 0").unionByName(hot.select(*found.columns))
+    parts = {"n": F.shiftright("at", 32), "pos": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))}
+    for k in range(3):
+        parts |= {f"n{k}": F.shiftright(f"h{k}.at", 32), f"pos{k}": F.col(f"h{k}.at").bitwiseAND(F.lit(0xFFFFFFFF))}
+    shared = shared.withColumns(parts)
     tried = None
     for k in range(3):
-        at = shared.where(F.col("doc_id") != F.col(f"h{k}.doc_id")).where(_fits(percent, "n", f"h{k}.n", "pos", f"h{k}.pos"))
+        at = shared.where(F.col("doc_id") != F.col(f"h{k}.doc_id")).where(_fits(percent, "n", f"n{k}", "pos", f"pos{k}"))
         at = at.select(F.least("doc_id", f"h{k}.doc_id").alias("a"), F.greatest("doc_id", f"h{k}.doc_id").alias("b"))
         tried = at if tried is None else tried.union(at)
     tried = staged(tried.distinct(), "hub-pairs")
@@ -253,11 +279,12 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
     open_tokens = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     rows = staged(rows.join(open_tokens, "token"), "open")
-    small = rows.where(F.col("c") <= BLOCK)
+    unstage(found)
+    small = rows.where(F.col("c") <= FEW)
     left, right = (small.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "pos", "comp")]) for x in "ab")
     near = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("compa") != F.col("compb")) & _fits(percent, "na", "nb", "posa", "posb")
     pairs = left.join(right, "token").where(near).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))
-    large = rows.where(F.col("c") > BLOCK).join(profile.select("doc_id", "classes"), "doc_id")
+    large = rows.where(F.col("c") > FEW).join(profile.select("doc_id", "classes"), "doc_id")
     count = F.ceil(F.col("c") / BLOCK).cast("int")
     large = large.withColumn("block", F.pmod(F.xxhash64("doc_id"), count).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))

@@ -112,7 +112,8 @@ s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
 n AS (SELECT doc_id, len(sh) AS n FROM s),
-e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+e AS (SELECT doc_id, g FROM u WHERE g IN (SELECT g FROM u GROUP BY g HAVING count(*) > 1)),
 p AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (

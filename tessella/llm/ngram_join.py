@@ -182,7 +182,7 @@ def _block_pairs(percent: int):
         for k in range(len(a)):
             need = _need(na[k], nb, percent)
             ok = (a["comp"].to_numpy()[k] != b["comp"].to_numpy()) & (100 * np.minimum(na[k], nb) >= percent * np.maximum(na[k], nb))
-            ok &= np.minimum(pa_[k], pb) + 1 + np.minimum(na[k] - pa_[k] - 1, nb - pb - 1) >= need
+            ok &= np.minimum(na[k] - pa_[k], nb - pb) >= need
             if i == j:
                 ok &= np.arange(len(b)) > k
             # The suffix filter: first on few classes, then on all of them for the pairs that are left.
@@ -197,9 +197,13 @@ def _block_pairs(percent: int):
 
 
 def _fits(percent: int, na: str, nb: str, pa_: str, pb: str):
-    """Length and positional filter of two documents at an n-gram both have in their prefixes."""
+    """Length and positional filter of two documents at an n-gram both have in their prefixes.
+
+    At the first n-gram that a linked pair shares, all it shares lies from there on; so a pair may be
+    left out wherever what lies ahead is too little, and is still found at its first shared n-gram.
+    """
     long_enough = F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})")
-    most = f"least({pa_}, {pb}) + 1 + least({na} - {pa_} - 1, {nb} - {pb} - 1)"
+    most = f"least({na} - {pa_}, {nb} - {pb})"
     return long_enough & F.expr(f"{100 + percent} * ({most}) >= {percent} * ({na} + {nb})")
 
 

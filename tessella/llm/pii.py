@@ -162,7 +162,7 @@ def normalised(text: str) -> Tape | None:
 
 
 def pii_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and base spans with those found in the normalised text that overlap none; by kind, then start."""
+    """Base spans, and base spans with those of the normalised text that reach beyond them; by kind, then start."""
     base = base_spans(text)
     tape = normalised(text)
     if tape is None:
@@ -170,7 +170,7 @@ def pii_spans(text: str) -> tuple[list[Span], list[Span]]:
     more: set[Span] = set()
     for a, b, kind in base_spans(tape.text):
         span = (tape.starts[a], tape.ends[b - 1], kind)
-        if not any(span[0] < y and x < span[1] for x, y, _ in base):
+        if not any(x <= span[0] and span[1] <= y for x, y, _ in base):
             more.add(span)
     return base, sorted([*base, *more], key=lambda s: (KINDS.index(s[2]), s[0], s[1]))
 

@@ -92,12 +92,12 @@ def _need(na, nb, percent: int):
     return -(-(percent * (na + nb)) // (100 + percent))
 
 
-def _prefixes(sketch, width: int, percent: int):
+def _prefixes(sketch, width: int, percent: int, hot_rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_()))])
 
     def run(batches):
         counts = sketch.value
-        often = HOT_ROWS + 4 * counts.sum() // len(counts)
+        often = hot_rows + 4 * counts.sum() // len(counts)
         for batch in (part for whole in batches for part in slices(whole)):
             h, n = shingles(_bytes(batch.column(1)), width)
             doc = np.repeat(np.arange(len(n)), n)
@@ -220,10 +220,13 @@ class _Join:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         bitmap = self.spark.sparkContext.broadcast(_bitmap(ids))
         run, schema = _sets(bitmap, self.width)
-        sets = staged(self.docs.where("doc_id is not null").mapInArrow(run, schema).join(ids, "doc_id", "left_semi"), "sets")
+        # The few documents that the map lets through by chance fall out in the joins.
+        sets = staged(self.docs.where("doc_id is not null").mapInArrow(run, schema), "sets")
         first, second = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         both = pairs.join(first, "a").join(second, "b").withColumn("common", _common("sa", "sb"))
-        return staged(both.where(need("common")).select("a", "b"), "links")
+        links = staged(both.where(need("common")).select("a", "b"), "links")
+        unstage(sets)
+        return links
 
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -250,24 +253,29 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = staged(some.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("doc_id", "rep"), "members")
     reps = members.where("doc_id = rep").select("doc_id").distinct()
 
-    run, schema = _prefixes(sketch, width, percent)
+    run, schema = _prefixes(sketch, width, percent, HOT_ROWS)
     prefix = docs.where("doc_id is not null").mapInArrow(run, schema).join(reps, "doc_id")
     prefix = prefix.select("doc_id", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
-    # One shuffle of all prefixes. The sketch bounds a group's rows; n-grams that may have more are salted.
-    salt = F.when(F.col("x.hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
-    prefix = prefix.select(F.col("x.prefix").alias("token"), salt.alias("salt"), "doc_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    group = Window.partitionBy("token", "salt")
+    # One shuffle of all prefixes, of three numbers a row. The sketch bounds a group's rows; n-grams that
+    # may have more are salted, which the top bit of ``at`` says; the salt follows from the document.
+    mask = F.xxhash64(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).bitwiseOR(F.when(F.col("x.hot"), F.lit(-(2**63))).otherwise(F.lit(0)))
+    token = F.when(F.col("x.hot"), F.col("x.prefix").bitwiseXOR(mask)).otherwise(F.col("x.prefix"))
+    prefix = prefix.select(token.alias("token"), "doc_id", at.alias("at"))
+    group = Window.partitionBy("token")
     mine = F.struct("doc_id", "at")
     salted = F.struct(F.xxhash64(F.col("doc_id"), F.lit(1)).alias("h"), "doc_id", "at")
     hubs = {"c": F.count(F.lit(1)), "h0": F.min(mine), "h1": F.min(salted), "h2": F.max(salted)}
     # Rounds of hubs: each document is compared with a few of those it shares an n-gram with.
-    found = staged(prefix.withColumns({k: v.over(group) for k, v in hubs.items()}).where("c > 1 or salt > 0"), "shared")
-    hot = found.where("salt > 0").drop(*hubs)
+    found = staged(prefix.withColumns({k: v.over(group) for k, v in hubs.items()}).where("c > 1 or at < 0"), "shared")
+    hot = found.where("at < 0").drop(*hubs).withColumn("token", F.col("token").bitwiseXOR(mask))
     hot = hot.join(hot.groupBy("token").agg(*[v.alias(k) for k, v in hubs.items()]).where("c > 1"), "token")
-    shared = found.where("salt = 0").unionByName(hot.select(*found.columns))
-    parts = {"n": F.shiftright("at", 32), "pos": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))}
+    shared = found.where("at >= 0").unionByName(hot.select(*found.columns))
+    size = lambda c: F.shiftright(c, 32).bitwiseAND(F.lit(0x7FFFFFFF))
+    place = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    parts = {"n": size("at"), "pos": place("at")}
     for k in range(3):
-        parts |= {f"n{k}": F.shiftright(f"h{k}.at", 32), f"pos{k}": F.col(f"h{k}.at").bitwiseAND(F.lit(0xFFFFFFFF))}
+        parts |= {f"n{k}": size(f"h{k}.at"), f"pos{k}": place(f"h{k}.at")}
     shared = shared.withColumns(parts)
     tried = None
     for k in range(3):
@@ -279,10 +287,15 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # All other pairs that share a prefix n-gram and are not yet known to be connected.
     label = components(links, "hub-comps")
-    rows = shared.select("token", "doc_id", "n", "pos", "c").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    # Where all documents but one are hubs, all pairs have been tried.
+    left_over = F.col("c") - F.size(F.array_distinct(F.array(*[f"h{k}.doc_id" for k in range(3)]))) > 1
+    rows = shared.where(left_over).select("token", "doc_id", "n", "pos", "c", (F.col("at") < 0).alias("hot"))
+    rows = rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     rows = rows.withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    open_tokens = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    rows = staged(rows.join(open_tokens, "token"), "open")
+    hot, least, most = rows.where("hot"), F.min("comp"), F.max("comp")
+    open_tokens = hot.groupBy("token").agg(least.alias("x"), most.alias("y")).where("x <> y").select("token")
+    cold = rows.where("not hot").withColumns({"x": least.over(group), "y": most.over(group)}).where("x <> y")
+    rows = staged(cold.select(*rows.columns).unionByName(hot.join(open_tokens, "token").select(*rows.columns)), "open")
     unstage(found)
     small = rows.where(F.col("c") <= FEW)
     left, right = (small.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "pos", "comp")]) for x in "ab")

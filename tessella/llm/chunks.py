@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-
+import re
 from collections.abc import Callable
 
 import numpy as np
 
+#: A space that no chunk may start with.
+_BOUND = re.compile(r" (?:\s|\Z)")
 
 
 def chunks(text: str) -> list[str]:
     """The text cut before every space that is followed by a character other than white space."""
     parts = text.split(" ")
-    if all(p and not p[0].isspace() for p in parts[1:]):
+    if not _BOUND.search(text):
         return [parts[0], *[f" {p}" for p in parts[1:]]] if parts[0] else [f" {p}" for p in parts[1:]]
     out = [parts[0]]
     for p in parts[1:]:

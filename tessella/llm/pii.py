@@ -73,11 +73,13 @@ _INVISIBLE = frozenset("­​‌‍⁠﻿")
 
 _SPELLED = {w: str(k) for k, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _WORD = r"(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
-#: At least three number words in a row, as digits are spelled; ``plus`` and digits may stand among them.
-_NUMBERS = re.compile(rf"(?i)\b(?:plus[\s,-]+)?(?:(?:{_WORD}|[0-9]+)[\s,-]+)*{_WORD}[\s,-]+{_WORD}[\s,-]+{_WORD}\b(?:[\s,-]+(?:{_WORD}|[0-9]+)\b)*")
+#: A longest run of number words and digits, read once; ``plus`` may stand before it.
+_NUMBERS = re.compile(rf"(?i)\b(?:plus[\s,-]+)?(?:{_WORD}|[0-9]+)\b(?:[\s,-]+(?:{_WORD}|[0-9]+)\b)*+")
+#: Digits are spelled where a run has three number words in a row.
+_THREE = re.compile(rf"(?i)\b{_WORD}[\s,-]+{_WORD}[\s,-]+{_WORD}\b")
 _PART = re.compile(rf"(?i){_WORD}|plus|[0-9]+")
-_BRACKETED_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
-_BRACKETED_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
+_BRACKETED_AT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
+_BRACKETED_DOT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|@)[A-Za-z0-9-]+((?:\s+dot\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+)")
 _SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+")
 
@@ -122,6 +124,8 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     """Each run of number words becomes its digits, one edit per word; what separates words goes."""
     edits = []
     for m in _NUMBERS.finditer(text):
+        if not _THREE.search(text, *m.span()):
+            continue
         end = None
         for p in _PART.finditer(text, m.start(), m.end()):
             if end is not None and end < p.start():

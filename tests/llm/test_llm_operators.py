@@ -1,5 +1,6 @@
 """Small fixtures against brute force, and odd tables: nulls, empty and long texts, ties, repeats, clashing names."""
 
+import time
 import hashlib
 import itertools
 import random
@@ -371,3 +372,10 @@ def test_spans_against_brute_force(spark):
         keep = [text[a:b] for n, (a, b) in enumerate(own) if n not in gone[k]]
         assert [r.text[a:b] for a, b in D.sentences(r.text)] == keep
         assert r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_pii_long_runs_take_linear_time():
+    began = time.time()
+    base, spans = P.pii_spans("john none [at] " + " " * 200_000 + "12, 345 " * 100_000 + "mail jo  [at]  ex (dot) com")
+    assert time.time() - began < 20
+    assert not base and [k for _, _, k in spans] == ["email"]

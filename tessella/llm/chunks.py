@@ -25,6 +25,21 @@ def chunks(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+def keys(text: str) -> list[str]:
+    """The chunks under shorter names: a space and a word go by the word, all others by a space and the chunk."""
+    if text and not _BOUND.search(text):
+        parts = text.split(" ")
+        if parts[0]:
+            parts[0] = f" {parts[0]}"
+            return parts
+        return parts[1:]
+    return [c[1:] if c[0] == " " and c[1:] and not c[1].isspace() else f" {c}" for c in chunks(text)]
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[0] == " " else f" {key}"
+
+
 class ChunkCache:
     """Ids of chunks as bytes of unsigned 32-bit numbers, kept up to a bound between batches of a worker."""
 
@@ -35,7 +50,7 @@ class ChunkCache:
         cut = [self.split(t) for t in texts]
         if len(self.ids) > self.most:
             self.ids.clear()
-        new = list({c for parts in cut for c in parts if c not in self.ids})
+        new = list(set().union(*cut).difference(self.ids))
         if new:
             self.ids.update(zip(new, self.encode(new), strict=True))
         get = self.ids.__getitem__

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.chunks import ChunkCache
+from tessella.llm.chunks import ChunkCache, chunk_of, keys
 from tessella.llm.common import staged
 from tessella.llm.wordhash import slices
 
@@ -51,22 +51,23 @@ def _cache(path: str) -> ChunkCache:
     spaced[[i for t, i in tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def encode(new: list[str]) -> list[bytes]:
-        """Ids of many chunks from few calls: chunks with one space, at their start, are joined."""
-        plain = [k for k, c in enumerate(new) if c[0] == " " and " " not in c[1:] and not any(x.isspace() for x in c[1:2])]
+        """Ids of many keys from few calls: chunks with one space, at their start, are joined."""
+        plain = [k for k, c in enumerate(new) if " " not in c]
         out: list[bytes | None] = [None] * len(new)
         groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(new[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" " + " ".join([new[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             starts = np.flatnonzero(spaced[ids])
             if len(starts) == len(group) and starts[0] == 0:
-                for k, part in zip(group, np.split(ids, starts[1:]), strict=True):
-                    out[k] = part.tobytes()
+                data, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for k, x, y in zip(group, ends[:-1], ends[1:], strict=True):
+                    out[k] = data[x:y]
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, tokenizer.encode_batch_fast([chunk_of(new[k]) for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    return ChunkCache(encode)
+    return ChunkCache(encode, keys)
 
 
 def _tokenized(path: str, piece: int):

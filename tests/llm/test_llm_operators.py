@@ -379,3 +379,34 @@ def test_pii_long_runs_take_linear_time():
     base, spans = P.pii_spans("john none [at] " + " " * 200_000 + "12, 345 " * 100_000 + "mail jo  [at]  ex (dot) com")
     assert time.time() - began < 20
     assert not base and [k for _, _, k in spans] == ["email"]
+
+
+def test_long_passages_wherever_they_start(spark):
+    """One long sentence, a part of a sentence, short lines, other line breaks: no 51 words in a row stay twice."""
+    rng = random.Random(14)
+    some = lambda n: rng.choices(WORDS, k=n)
+    bare, lines, wrapped, ended = some(60), some(60), some(80), some(51)
+    dotted = [w + "." * (k in (20, 30)) for k, w in enumerate(some(51))]
+    by_line = "\n".join(" ".join(lines[k : k + 4]) for k in range(0, 60, 4))
+    planted = [(" ".join(bare), " ".join(bare).upper()), (by_line, by_line), ("\n".join(" ".join(wrapped[k : k + 7]) for k in range(0, 80, 7)), "\n".join(" ".join(wrapped[k : k + 9]) for k in range(0, 80, 9))), (" ".join(ended), "\u00a0 ".join(ended)), (" ".join(dotted), " ".join(dotted))]
+    docs = []
+    for k, pair in enumerate(planted):
+        for part in pair:
+            docs.append((len(docs), f"{' '.join(some(rng.randint(3, 30)))} {part} {' '.join(some(rng.randint(3, 30)))}. Here {k} it ends\nand so on."))
+    twice = some(60)
+    docs.append((len(docs), " ".join([*twice, "between", *twice])))
+    docs.append((len(docs), "again " * 200))
+    got = {r.doc_id: r for r in D.span_dedup(table(spark, docs)).collect()}
+    for k in range(len(planted)):
+        assert got[2 * k].text == docs[2 * k][1] and got[2 * k].n_removed == 0
+        a, b = (got[2 * k + j].text.lower().split() for j in range(2))
+        held = {tuple(a[i : i + D.NEAR]) for i in range(len(a))}
+        assert not any(tuple(b[i : i + D.NEAR]) in held for i in range(len(b) - D.NEAR + 1))
+        source, r = docs[2 * k + 1][1], got[2 * k + 1]
+        outside = source.lower().split()
+        assert len(b) >= len(outside) - len(planted[k][1].split()) and "it ends\nand so on." in r.text
+        ranges = [tuple(map(int, x.split(":"))) for x in r.removed.split(",")]
+        assert r.text == "".join(source[x:y] for x, y in zip([0, *[b for _, b in ranges]], [*[a for a, _ in ranges], len(source)], strict=True))
+    own = got[len(docs) - 2].text.split()
+    assert own[:61] == [*twice, "between"] and len(own) <= 61 + 2 * (D.NEAR - 1)
+    assert D.STRETCH <= len(got[len(docs) - 1].text.split()) < D.STRETCH + D.NEAR

@@ -8,43 +8,64 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import shared_dir
-from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.common import shared_dir, staged
+from tessella.llm.exact_dedup import identities
 from tessella.llm.ngram_join import ngram_links
 from tessella.llm.packing import Capacity, pack_documents
-from tessella.llm.quality import quality
+from tessella.llm.quality import accepted
 from tessella.llm.secret_scan import redacted
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept(doc_id)``, with the columns of ``docs``."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+#: The name of the key that tells rows apart within a stage; no column of ``documents`` has it.
+_ROW = "row_of_stage"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written so that the key stays the same whenever it is read."""
+    return staged(docs.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _only(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is in ``kept``, without the key."""
+    return keyed.join(kept.select(_ROW), _ROW, "left_semi").drop(_ROW)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; the same model scores the rows in place, so no text is shuffled."""
-    scored = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
-    return _only(docs, scored.where("predicted = 1"))
+    """Rows whose text the classifier accepts, those with a null or repeated id too; each is scored in place."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of rows with equal texts, one with the largest id; a null id stays only where no other row has the text.
+
+    Rows of one id are judged apart; of those that share id and text one stays. A null text counts as empty.
+    """
+    keyed = _keyed(docs)
+    named = identities(keyed, F.col(_ROW), F.col("text"), {"doc_id": F.col("doc_id")})
+    best = F.max(F.struct("doc_id", "key"))  # nulls sort below all ids
+    return _only(keyed, named.groupBy("n_blocks", "name").agg(best.alias("best")).select(F.col("best.key").alias(_ROW)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    return _only(docs, ngram_links(docs, width=5, percent=80).where("doc_id = component_id"))
+    """Of each group of near copies, one row with the smallest id; a null id stays only in a group without others.
+
+    Rows of one id are judged apart: they are near copies only if their texts are.
+    """
+    keyed = _keyed(docs)
+    links = ngram_links(keyed, id_col=_ROW, width=5, percent=80).select(F.col("doc_id").alias(_ROW), "component_id")
+    known = links.join(keyed.select(_ROW, "doc_id"), _ROW)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", _ROW))
+    return _only(keyed, known.groupBy("component_id").agg(best.alias("best")).select(f"best.{_ROW}"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked; ``n_chars`` follows the new text."""
+    """All rows, also those with a null or repeated id, with secrets masked; ``n_chars`` follows the new text."""
     count = F.length("text").cast(docs.schema["n_chars"].dataType)
     return redacted(docs).withColumn("n_chars", F.coalesce(count, F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 2048 ids."""
+    """The pieces of all rows, also those with a null or repeated id, packed into sequences of 2048 ids."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), Capacity(tokens=2048))
 
 

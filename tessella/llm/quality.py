@@ -190,3 +190,18 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     out = docs.mapInArrow(_scored(model), "doc_id long, score double")
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` predicts as 1, each judged by its own text, whatever its id."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(own, labels, sample))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        vectors, net = model.value
+        for whole in batches:
+            for batch in slices(whole, at):
+                yield batch.filter(pa.array(net.scores(pool(_texts(batch.column(at)), vectors)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -79,3 +79,33 @@ def test_packing(steps):
 def test_run_is_the_stages(spark, steps):
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, C.run(spark, SF).collect())) == sorted(map(key, steps[5].collect()))
+
+
+def test_null_and_repeated_ids(spark, steps):
+    """Each row is judged by its own text: by the classifier, among equal texts and among near copies."""
+    raw, n = steps[0], len(steps[0].columns)
+    scored = quality(raw, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    good = max(scored, key=lambda r: r.score).doc_id
+    bad = min(scored, key=lambda r: r.score).doc_id
+    by_id = {r.doc_id: r for r in raw.where(f"doc_id in ({good}, {bad})").collect()}
+    row = lambda r, **new: tuple({**r.asDict(), **new}[c] for c in raw.columns)
+    table = lambda rows: spark.createDataFrame(rows, raw.schema).repartition(3)
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    more = table([row(by_id[good], doc_id=None), row(by_id[bad], doc_id=None), row(by_id[bad], doc_id=good)])
+    kept = C.quality_classifier(spark, raw.union(more), SF)
+    assert len(kept.columns) == n and kept.where("doc_id is null").count() == 1
+    assert [r.text for r in kept.where(f"doc_id = {good}").collect()] == [by_id[good].text]
+
+    any_row = by_id[good]
+    docs = table([row(any_row, doc_id=k, text=t) for k, t in [(1, "a"), (2, "a"), (1, "b"), (1, "b"), (None, "a"), (None, "c"), (None, "c"), (3, None), (2, "")]])
+    assert found(C.drop_copies(spark, docs, SF)) == sorted([(2, "a"), (1, "b"), (None, "c"), (3, None)], key=repr)
+
+    base = [f"word{k}" for k in range(60)]
+    x, y, other = " ".join(base), " ".join([*base, "end"]), " ".join(f"other{k}" for k in range(60))
+    docs = table([row(any_row, doc_id=k, text=t) for k, t in [(5, x), (4, y), (4, other), (None, y + " here"), (None, "alone in the whole world"), (None, ""), (7, None)]])
+    assert found(C.drop_near_copies(spark, docs, SF)) == sorted([(4, y), (4, other), (None, "alone in the whole world"), (None, ""), (7, None)], key=repr)
+
+
+def test_empty_tables(spark, steps):
+    for k, (_, stage) in enumerate(C.STAGES):
+        assert stage(spark, steps[k].limit(0), SF).count() == 0

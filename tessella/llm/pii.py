@@ -74,13 +74,18 @@ _INVISIBLE = frozenset("­​‌‍⁠﻿")
 _SPELLED = {w: str(k) for k, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _WORD = r"(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
 #: A longest run of number words and digits, read once; ``plus`` may stand before it.
-_NUMBERS = re.compile(rf"(?i)\b(?:plus[\s,-]+)?(?:{_WORD}|[0-9]+)\b(?:[\s,-]+(?:{_WORD}|[0-9]+)\b)*+")
-#: Digits are spelled where a run has three number words in a row.
+_NUMBERS = re.compile(rf"(?i)(?:\b(?:plus[\s,-]+)?|\+)(?:{_WORD}|[0-9]+)\b(?:[\s,-]+(?:{_WORD}|[0-9]+)\b)*+")
+#: Digits are spelled where a run has three number words in a row; other runs only count as a card or phone.
 _THREE = re.compile(rf"(?i)\b{_WORD}[\s,-]+{_WORD}[\s,-]+{_WORD}\b")
 _PART = re.compile(rf"(?i){_WORD}|plus|[0-9]+")
 _BRACKETED_AT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
 _BRACKETED_DOT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
-_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|@)[A-Za-z0-9-]+((?:\s+dot\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+)")
+#: An at with the domain after it, whose dots are spoken or plain; the local part is found from there on to the left.
+_SPOKEN = re.compile(r"(?i)((?<!\s)\s++at\s++|@)([A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)")
+#: The last label of a domain with plain dots after a spoken at, so that times and numbers are none.
+_TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
+#: What a spoken at needs before a domain whose dots are plain.
+_AT = re.compile(r"\sat\s+[a-z0-9-]++\.[a-z0-9-]")
 _SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+")
 
 
@@ -121,28 +126,72 @@ def _plain_characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Each run of number words becomes its digits, one edit per word; what separates words goes."""
+    """Each run of number words becomes its digits, one edit per word; what separates words goes.
+
+    A run that mixes digits and words without three words in a row is taken only if it then is a card or phone.
+    """
     edits = []
     for m in _NUMBERS.finditer(text):
-        if not _THREE.search(text, *m.span()):
-            continue
-        end = None
+        own, end, words, new = [], None, 0, "+" if m[0][0] == "+" else ""
         for p in _PART.finditer(text, m.start(), m.end()):
             if end is not None and end < p.start():
-                edits.append((end, p.start(), ""))
+                own.append((end, p.start(), ""))
             word = p[0].lower()
             if not word[0].isdigit():
-                edits.append((*p.span(), "+" if word == "plus" else _SPELLED[word]))
+                words += word != "plus"
+                own.append((*p.span(), "+" if word == "plus" else _SPELLED[word]))
+            new += own[-1][2] if not word[0].isdigit() else word
             end = p.end()
+        if words and (_THREE.search(text, *m.span()) or _is_number(new)):
+            edits += own
     return edits
 
 
+def _is_number(text: str) -> bool:
+    """Whether digits, perhaps after a plus, are a phone or card as a whole."""
+    if text[0] == "+":
+        return 9 <= len(text) - 1 <= 15
+    return 13 <= len(text) <= 19 and _luhn(text)
+
+
+def _local_parts(text: str, at: int, free: int) -> list[tuple[int, int]]:
+    """The spoken dots of the local part that ends at ``at``, from the right; nothing before ``free`` is read."""
+    dots, end = [], at
+    while True:
+        start = end
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start == end:
+            return dots[:-1]  # no local part before that dot
+        if dots and text[start:end].lower() == "dot":
+            return dots[:-1]
+        word = start
+        while word > free and text[word - 1].isspace():
+            word -= 1
+        if word == start or text[max(free, word - 3) : word].lower() != "dot":
+            return dots
+        left = word - 3
+        while left > free and text[left - 1].isspace():
+            left -= 1
+        if left == word - 3:
+            return dots
+        dots.append((left, start))
+        end = left
+
+
 def _spoken(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, free = [], 0
     for m in _SPOKEN.finditer(text):
+        at = m.start()
+        if at == free or text[at - 1] not in _LOCAL:
+            continue
+        spoken = [d.span() for d in _SPOKEN_DOT.finditer(text, *m.span(2))]
         if m[1] != "@":
+            if not spoken and not _TOP.search(m[2]):
+                continue
             edits.append((*m.span(1), "@"))
-        edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text, *m.span(2))]
+        edits += [(a, b, ".") for a, b in [*_local_parts(text, at, free), *spoken]]
+        free = m.end()
     return edits
 
 
@@ -151,16 +200,13 @@ def normalised(text: str) -> Tape | None:
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite(_plain_characters(text))
+    if any(b in tape.text for b in "[({<"):
+        for pattern, new in ((_BRACKETED_AT, "@"), (_BRACKETED_DOT, ".")):
+            tape.rewrite([(*m.span(), new) for m in pattern.finditer(tape.text)])
     lower = tape.text.lower()
-    for marks, step in (
-        (("at", "@"), lambda t: [(*m.span(), "@") for m in _BRACKETED_AT.finditer(t)]),
-        (("dot", "."), lambda t: [(*m.span(), ".") for m in _BRACKETED_DOT.finditer(t)]),
-    ):
-        if any(f"{b}{s}{m}" in lower for b in "[({<" for s in ("", " ") for m in marks):
-            tape.rewrite(step(tape.text))
-    if "dot" in lower:
+    if "dot" in lower or _AT.search(lower):
         tape.rewrite(_spoken(tape.text))
-    if sum(w in lower for w in _SPELLED) > 1 or any(lower.count(w) > 2 for w in _SPELLED):
+    if any(w in lower for w in _SPELLED):
         tape.rewrite(_spelled_digits(tape.text))
     return None if tape.text == text else tape
 

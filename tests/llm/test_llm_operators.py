@@ -410,3 +410,27 @@ def test_long_passages_wherever_they_start(spark):
     own = got[len(docs) - 2].text.split()
     assert own[:61] == [*twice, "between"] and len(own) <= 61 + 2 * (D.NEAR - 1)
     assert D.STRETCH <= len(got[len(docs) - 1].text.split()) < D.STRETCH + D.NEAR
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    ("write to jane [ at ] mail.org now", "email", "jane [ at ] mail.org"),
+    ("write to jane (\tat\t) mail {\ndot } org now", "email", "jane (\tat\t) mail {\ndot } org"),
+    ("write to jane at example [dot] com now", "email", "jane at example [dot] com"),
+    ("write to jane at example.com now", "email", "jane at example.com"),
+    ("write: jane dot doe at example dot com", "email", "jane dot doe at example dot com"),
+    ("write: jane dot doe@example.com", "email", "jane dot doe@example.com"),
+    ("write: jane dot doe [at] mail.example dot com", "email", "jane dot doe [at] mail.example dot com"),
+    ("card 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one now", "card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+    ("call plus 5 five 5 five 0 one 2 three 4 five now", "phone", "plus 5 five 5 five 0 one 2 three 4 five"),
+    ("call +1 five 5 five 0 one 2 three 4 five now", "phone", "+1 five 5 five 0 one 2 three 4 five"),
+])
+def test_pii_in_mixed_disguise(text, kind, part):
+    assert (text.index(part), text.index(part) + len(part), kind) in P.pii_spans(text)[1]
+
+
+def test_pii_mixed_runs_of_other_length_stay():
+    for text in ("pick 1 or two of 3, four at 5", "one 2 three 4 five", "look at it. The dot at noon", "we meet at 3.30 or at 10.15.", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 two"):
+        assert P.pii_spans(text) == ([], [])
+    began = time.time()
+    P.pii_spans("a dot " * 100_000 + "at b" + " at " * 100_000 + "1 two " * 100_000 + "a.b-" * 100_000 + " at c")
+    assert time.time() - began < 20

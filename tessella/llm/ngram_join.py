@@ -22,7 +22,13 @@ CLASSES, COARSE = 256, 32
 #: An n-gram that the sketch counts no more often than this (and four mean counters) may be grouped in one task.
 HOT_ROWS, SALTS = 20_000, 64
 #: Documents that share an n-gram are paired by a join if they are few, and compared in blocks if they are more.
-FEW, BLOCK = 24, 256
+FEW, BLOCK = 24, 512
+#: Shingles of all documents of a block on average, so that a block of long documents stays small too.
+BLOCK_SHINGLES = 1 << 20
+#: Hubs are tried again while some n-gram leaves more than so many pairs to compare, and rounds make progress.
+WORK, ROUNDS = 1 << 22, 8
+#: Columns of the matrices that intersections are counted with.
+_WIDE = 8192
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -115,7 +121,8 @@ def _prefixes(sketch, width: int, percent: int, hot_rows: int):
     return run, "doc_id long, n int, prefix array<long>, hot array<boolean>"
 
 
-def _sets(bitmap, width: int):
+def _sets(bitmap, width: int, sketch=None):
+    """Sets of the documents that the map holds: by hash, or rare-first where there is a sketch."""
     schema = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -125,6 +132,8 @@ def _sets(bitmap, width: int):
             pick = np.flatnonzero((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(pick):
                 h, n = shingles(_bytes(batch.column(1).take(pa.array(pick))), width)
+                if sketch is not None:
+                    h = h[_rare_first(h, np.repeat(np.arange(len(n)), n), sketch.value)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.record_batch([pa.array(ids[pick]), lists], schema=schema)
 
@@ -167,31 +176,91 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _block_pairs(percent: int):
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, counted by matrix products."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for values, sets in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        hit = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order], len(sets)))
+    for low in range(0, len(both), _WIDE):
+        parts = []
+        for row, at, n in sides:
+            x, y = np.searchsorted(at, (low, low + _WIDE))
+            part = np.zeros((n, min(_WIDE, len(both) - low)), np.float32)
+            part[row[x:y], at[x:y] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over the links ``x[k], y[k]``."""
+    comp = np.arange(n)
+    while True:
+        new = comp.copy()
+        np.minimum.at(new, x, comp[y])
+        np.minimum.at(new, y, comp[x])
+        new = new[new]
+        if (new == comp).all():
+            return comp
+        comp = new
+
+
+def _block_links(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one pair of blocks of an n-gram's documents that pass all filters."""
+        """Links between two blocks of an n-gram's documents; of those, only as many as span what is connected.
+
+        A pair is verified at the first n-gram of its prefixes that both have, and nowhere else, unless it was
+        tried with a hub.
+        """
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        ca, cb = _counts(a["classes"]), _counts(b["classes"])
-        full = (cb == 255).any(1)
+        left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        n, pos, comp, ids = (pdf[c].to_numpy() for c in ("n", "pos", "comp", "doc_id"))
+        na, nb = n[left, None], n[None, right]
+        need = _need(na, nb, percent)
+        ok = (comp[left, None] != comp[None, right]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        ok &= np.minimum(na - pos[left, None], nb - pos[None, right]) >= need
+        if i == j:
+            ok = np.triu(ok, 1)
+        for mine, other, turn in ((left, right, False), (right, left, True)):
+            hubs = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in pdf["tried"].iloc[mine]]
+            row, hub = np.repeat(np.arange(len(mine)), [len(x) for x in hubs]), np.concatenate([*hubs, np.zeros(0, np.int64)])
+            order = np.argsort(ids[other])
+            at = np.minimum(np.searchsorted(ids[other][order], hub), len(other) - 1)
+            hit = ids[other][order][at] == hub
+            row, at = row[hit], order[at[hit]]
+            ok[(at, row) if turn else (row, at)] = False
+        rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(rows):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        ok, need, left, right = ok[np.ix_(rows, columns)], need[np.ix_(rows, columns)], left[rows], right[columns]
+        # The suffix filter: what two sets share can't exceed what they share in each class of hashed shingles.
+        ca, cb = _counts(pdf["classes"].iloc[left]), _counts(pdf["classes"].iloc[right])
         sa, sb = (x.reshape(len(x), COARSE, -1).sum(2) for x in (ca, cb))
-        na, nb = a["n"].to_numpy(), b["n"].to_numpy()
-        pa_, pb = a["pos"].to_numpy(), b["pos"].to_numpy()
-        ia, ib = a["doc_id"].to_numpy(), b["doc_id"].to_numpy()
-        out = []
-        for k in range(len(a)):
-            need = _need(na[k], nb, percent)
-            ok = (a["comp"].to_numpy()[k] != b["comp"].to_numpy()) & (100 * np.minimum(na[k], nb) >= percent * np.maximum(na[k], nb))
-            ok &= np.minimum(na[k] - pa_[k], nb - pb) >= need
-            if i == j:
-                ok &= np.arange(len(b)) > k
-            # The suffix filter: first on few classes, then on all of them for the pairs that are left.
-            ok &= full | (np.minimum(sa[k], sb).sum(1) >= need)
-            at = np.flatnonzero(ok)
-            ok[at] = _bound(ca[k], cb[at]) >= need[at]
-            out.append(np.column_stack((np.full(ok.sum(), ia[k]), ib[ok])))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both.min(1), "b": both.max(1)})
+        full = (cb == 255).any(1)
+        for k in np.flatnonzero(ok.any(1)):
+            at = np.flatnonzero(ok[k])
+            ok[k, at] = full[at] | (np.minimum(sa[k], sb[at]).sum(1) >= need[k, at])
+            at = np.flatnonzero(ok[k])
+            ok[k, at] = _bound(ca[k], cb[at]) >= need[k, at]
+        rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(rows):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        ok, need, left, right = ok[np.ix_(rows, columns)], need[np.ix_(rows, columns)], left[rows], right[columns]
+        sets = {k: np.asarray(pdf["set"].iloc[k], np.int64) for k in {*left, *right}}
+        before = _common_counts([sets[k][: pos[k]] for k in left], [sets[k][: pos[k]] for k in right])
+        x, y = np.nonzero(ok & (before == 0) & (_common_counts([sets[k] for k in left], [sets[k] for k in right]) >= need))
+        comp = spanning(left[x], right[y], len(pdf))
+        some = np.flatnonzero(comp != np.arange(len(pdf)))
+        return pd.DataFrame({"a": ids[comp[some]], "b": ids[some]})
 
     return run
 
@@ -208,26 +277,83 @@ def _fits(percent: int, na: str, nb: str, pa_: str, pb: str):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
-        self.docs, self.width, self.percent, self.spark = docs, width, percent, docs.sparkSession
+    def __init__(self, docs: DataFrame, width: int, percent: int, sketch, profile: DataFrame) -> None:
+        self.docs, self.width, self.percent, self.spark, self.sketch = docs, width, percent, docs.sparkSession, sketch
+        self.profile = profile.select("doc_id", "n", "classes")
 
-    def verified(self, pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    def sets(self, ids: DataFrame, sketch=None) -> DataFrame:
+        """``doc_id, set`` of these documents, made again from their texts; few others come along."""
+        bitmap = self.spark.sparkContext.broadcast(_bitmap(ids))
+        run, schema = _sets(bitmap, self.width, sketch)
+        return staged(self.docs.where("doc_id is not null").mapInArrow(run, schema), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that link. Each comes once; sets are made again from the texts of its documents."""
-        one, two = (profile.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("classes").alias(f"c{x}")) for x in "ab")
+        one, two = (self.profile.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("classes").alias(f"c{x}")) for x in "ab")
         pairs = pairs.join(one, "a").join(two, "b").withColumn("most", _class_bound("ca", "cb"))
         need = lambda c: F.expr(f"{100 + self.percent} * {c} >= {self.percent} * (na + nb)")
         pairs = staged(pairs.where(need("most")).select("a", "b", "na", "nb"), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        bitmap = self.spark.sparkContext.broadcast(_bitmap(ids))
-        run, schema = _sets(bitmap, self.width)
         # The few documents that the map lets through by chance fall out in the joins.
-        sets = staged(self.docs.where("doc_id is not null").mapInArrow(run, schema), "sets")
+        sets = self.sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         first, second = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         both = pairs.join(first, "a").join(second, "b").withColumn("common", _common("sa", "sb"))
         links = staged(both.where(need("common")).select("a", "b"), "links")
         unstage(sets)
+        unstage(pairs)
         return links
 
+    def hub_pairs(self, rows: DataFrame, hubs: list[str]) -> DataFrame:
+        """``doc_id, hub`` for each document and hub of an n-gram that pass the filters."""
+        out = None
+        for h in hubs:
+            own = rows.select("doc_id", "n", "pos", F.col(f"{h}.doc_id").alias("hub"), _size(f"{h}.at").alias("nh"), _place(f"{h}.at").alias("posh"))
+            own = own.where("doc_id <> hub").where(_fits(self.percent, "n", "nh", "pos", "posh")).select("doc_id", "hub")
+            out = own if out is None else out.union(own)
+        return out.distinct()
+
+    def in_blocks(self, rows: DataFrame, tried: DataFrame) -> DataFrame:
+        """Links that span what is connected among the documents of n-grams that many share.
+
+        ``rows`` has ``token, doc_id, n, pos, comp, major, minor, c, shingles``. Documents of the n-gram's
+        largest component (``major``) are not compared with each other: they are spread over blocks of
+        their own, and only the others' blocks are compared with all.
+        """
+        sets = self.sets(rows.select("doc_id").distinct(), self.sketch)
+        own = tried.groupBy("doc_id").agg(F.collect_set("hub").alias("tried"))
+        is_major = F.col("comp") == F.col("major")
+        weight = F.greatest(F.lit(1.0 / BLOCK), F.col("shingles") / F.col("c") / BLOCK_SHINGLES)
+        few = F.greatest(F.lit(1), F.ceil(F.col("minor") * weight)).cast("int")
+        many = F.ceil((F.col("c") - F.col("minor")) * weight).cast("int")
+        rows = rows.withColumns({"few": few, "many": many})
+        spread = F.when(is_major, F.col("few") + F.pmod(F.xxhash64("doc_id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("few")))
+        with_ = F.when(is_major, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
+        rows = rows.select("token", "doc_id", "n", "pos", "comp", spread.cast("int").alias("block"), with_.alias("with"))
+        rows = rows.join(self.profile.select("doc_id", "classes"), "doc_id").join(sets, "doc_id").join(own, "doc_id", "left")
+        rows = rows.withColumn("other", F.explode("with")).drop("with")
+        rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+        links = staged(rows.groupBy("token", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "block-links")
+        unstage(sets)
+        return links
+
+
+def _size(at: str):
+    return F.shiftright(at, 32).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def _place(at: str):
+    return F.col(at).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _hub_columns(salt: int) -> dict:
+    """Aggregates that pick three documents of an n-gram: by id in the first round, by salted hashes otherwise."""
+    mine = F.struct("doc_id", "at")
+    salted = F.struct(F.xxhash64(F.col("doc_id"), F.lit(salt + 1)).alias("h"), "doc_id", "at")
+    other = F.struct(F.xxhash64(F.col("doc_id"), F.lit(-salt)).alias("h"), "doc_id", "at")
+    return {"h0": F.min(other if salt else mine), "h1": F.min(salted), "h2": F.max(salted)}
+
+
+_HUBS = ["h0", "h1", "h2"]
+
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
@@ -241,11 +367,11 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    join = _Join(docs, width, percent)
     run, schema = _profile(width)
     both = staged(docs.mapInArrow(run, schema), "profile")
-    sketch = join.spark.sparkContext.broadcast(_sketch(both.where("chunk is not null").select("chunk", "counts")))
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(both.where("chunk is not null").select("chunk", "counts")))
     profile = both.where("chunk is null")
+    join = _Join(docs, width, percent, sketch, profile)
 
     # Documents with equal sets are one from here on.
     some = profile.where("n > 0 and doc_id is not null")
@@ -263,52 +389,54 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token = F.when(F.col("x.hot"), F.col("x.prefix").bitwiseXOR(mask)).otherwise(F.col("x.prefix"))
     prefix = prefix.select(token.alias("token"), "doc_id", at.alias("at"))
     group = Window.partitionBy("token")
-    mine = F.struct("doc_id", "at")
-    salted = F.struct(F.xxhash64(F.col("doc_id"), F.lit(1)).alias("h"), "doc_id", "at")
-    hubs = {"c": F.count(F.lit(1)), "h0": F.min(mine), "h1": F.min(salted), "h2": F.max(salted)}
-    # Rounds of hubs: each document is compared with a few of those it shares an n-gram with.
+    hubs = {"c": F.count(F.lit(1))} | _hub_columns(0)
+    # A round of hubs: each document is compared with a few of those it shares an n-gram with.
     found = staged(prefix.withColumns({k: v.over(group) for k, v in hubs.items()}).where("c > 1 or at < 0"), "shared")
     hot = found.where("at < 0").drop(*hubs).withColumn("token", F.col("token").bitwiseXOR(mask))
-    hot = hot.join(hot.groupBy("token").agg(*[v.alias(k) for k, v in hubs.items()]).where("c > 1"), "token")
-    shared = found.where("at >= 0").unionByName(hot.select(*found.columns))
-    size = lambda c: F.shiftright(c, 32).bitwiseAND(F.lit(0x7FFFFFFF))
-    place = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    parts = {"n": size("at"), "pos": place("at")}
-    for k in range(3):
-        parts |= {f"n{k}": size(f"h{k}.at"), f"pos{k}": place(f"h{k}.at")}
-    shared = shared.withColumns(parts)
-    tried = None
-    for k in range(3):
-        at = shared.where(F.col("doc_id") != F.col(f"h{k}.doc_id")).where(_fits(percent, "n", f"n{k}", "pos", f"pos{k}"))
-        at = at.select(F.least("doc_id", f"h{k}.doc_id").alias("a"), F.greatest("doc_id", f"h{k}.doc_id").alias("b"))
-        tried = at if tried is None else tried.union(at)
-    tried = staged(tried.distinct(), "hub-pairs")
-    links = join.verified(tried, profile)
+    # The aggregate is a table of its own, so that the join's other side can be split where a token is frequent.
+    tops = staged(hot.groupBy("token").agg(*[v.alias(k) for k, v in hubs.items()]).where("c > 1"), "tops")
+    hot = hot.join(tops, "token")
+    shared = found.where("at >= 0").unionByName(hot.select(*found.columns)).withColumns({"n": _size("at"), "pos": _place("at")})
+    tried = staged(join.hub_pairs(shared, _HUBS), "hub-pairs")
+    pairs = lambda t: t.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    links = join.verified(pairs(tried))
 
     # All other pairs that share a prefix n-gram and are not yet known to be connected.
     label = components(links, "hub-comps")
     # Where all documents but one are hubs, all pairs have been tried.
-    left_over = F.col("c") - F.size(F.array_distinct(F.array(*[f"h{k}.doc_id" for k in range(3)]))) > 1
-    rows = shared.where(left_over).select("token", "doc_id", "n", "pos", "c", (F.col("at") < 0).alias("hot"))
-    rows = rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rows = rows.withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    hot, least, most = rows.where("hot"), F.min("comp"), F.max("comp")
-    open_tokens = hot.groupBy("token").agg(least.alias("x"), most.alias("y")).where("x <> y").select("token")
-    cold = rows.where("not hot").withColumns({"x": least.over(group), "y": most.over(group)}).where("x <> y")
+    left_over = F.col("c") - F.size(F.array_distinct(F.array(*[f"{h}.doc_id" for h in _HUBS]))) > 1
+    shared = shared.where(left_over).select("token", "doc_id", "n", "pos", "at", "c")
+    labelled = lambda rows, label: rows.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
+    rows = labelled(shared, label)
+    hot, least, most = rows.where("at < 0"), F.min("comp"), F.max("comp")
+    open_tokens = staged(hot.groupBy("token").agg(least.alias("x"), most.alias("y")).where("x <> y").select("token"), "open-hot")
+    cold = rows.where("at >= 0").withColumns({"x": least.over(group), "y": most.over(group)}).where("x <> y")
     rows = staged(cold.select(*rows.columns).unionByName(hot.join(open_tokens, "token").select(*rows.columns)), "open")
-    unstage(found)
+    for t in (found, tops, open_tokens):
+        unstage(t)
     small = rows.where(F.col("c") <= FEW)
     left, right = (small.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "pos", "comp")]) for x in "ab")
     near = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("compa") != F.col("compb")) & _fits(percent, "na", "nb", "posa", "posb")
-    pairs = left.join(right, "token").where(near).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))
-    large = rows.where(F.col("c") > FEW).join(profile.select("doc_id", "classes"), "doc_id")
-    count = F.ceil(F.col("c") / BLOCK).cast("int")
-    large = large.withColumn("block", F.pmod(F.xxhash64("doc_id"), count).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    large = large.groupBy("token", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")
-    pairs = pairs.union(large).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(join.verified(staged(pairs, "rest-pairs"), profile))
+    few = left.join(right, "token").where(near).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))
+    few = few.distinct().join(pairs(tried), ["a", "b"], "left_anti")
+    links = staged(links.union(join.verified(staged(few, "rest-pairs"))), "links")
+
+    rows, work = rows.where(F.col("c") > FEW).drop("comp"), None
+    for k in range(1, ROUNDS + 1):
+        large = _open_groups(labelled(rows, label))
+        open_pairs = large.agg(F.max(F.col("minor").cast("double") * F.col("c")).alias("most"), F.sum(F.col("minor").cast("double") * F.col("c")).alias("all")).first()
+        if k == ROUNDS or (open_pairs["most"] or 0) <= WORK or work is not None and open_pairs["all"] > 0.75 * work:
+            break
+        work = open_pairs["all"]
+        rows = staged(rows.join(large.select("token"), "token", "left_semi"), f"open-{k}")
+        tops = staged(rows.groupBy("token").agg(*[v.alias(h) for h, v in _hub_columns(k).items()]), f"tops-{k}")
+        more = join.hub_pairs(rows.join(tops, "token"), _HUBS).join(tried, ["doc_id", "hub"], "left_anti")
+        more = staged(more.join(tried.select(F.col("doc_id").alias("hub"), F.col("hub").alias("doc_id")), ["doc_id", "hub"], "left_anti"), f"hub-pairs-{k}")
+        links = staged(links.union(join.verified(pairs(more))), f"links-{k}")
+        tried = staged(tried.union(more), f"tried-{k}")
+        label = components(links, f"comps-{k}")
+    rows = labelled(rows.drop("c"), label).join(large, "token")
+    links = links.union(join.in_blocks(rows, tried))
 
     label = components(links, "comps").select(F.col("id").alias("rep"), "component_id")
     member = members.join(label, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
@@ -316,3 +444,14 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The smallest id of a class is its representative, so the smallest representative is the smallest id.
     out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """``token, major, minor, c, shingles`` of the n-grams whose documents are not all in one component.
+
+    ``major`` is the component that has most of them, ``minor`` the number of documents outside of it.
+    """
+    by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    out = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("c"), F.sum("s").alias("shingles"))
+    out = out.select("token", "major", (F.col("c") - F.col("most")).alias("minor"), "c", "shingles")
+    return staged(out.where("minor > 0"), "groups")

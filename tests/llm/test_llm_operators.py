@@ -173,14 +173,36 @@ def test_ngram_join_against_brute_force(spark):
     assert got == {k: (len(s), root[k]) for k, s in sets.items()}
 
 
-def test_ngram_join_with_hot_ngrams(spark, monkeypatch):
-    """With every n-gram salted and small blocks, the links are the same."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = sorted(J.ngram_links(docs).collect())
+@pytest.mark.parametrize("work", [0, 1 << 22])
+def test_ngram_join_with_hot_ngrams(spark, monkeypatch, work):
+    """With every n-gram salted, small blocks and with or without more hubs, the links are the same."""
+    rng = random.Random(15)
+    base = rng.choices(WORDS, k=60)
+    docs = [(k, r.text) for k, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())]
+    for k in range(1000, 1120):  # copies with up to three changes, many of which do not link with each other
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        docs.append((k, " ".join(w)))
+    sets = {k: shingle_set(t) for k, t in docs}
+    near = [(a, b) for a, b in itertools.combinations(range(1000, 1120), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    table_ = table(spark, docs)
+    want = sorted(J.ngram_links(table_).collect())
+    root = components_of(range(1000, 1120), near)
+    assert {r.doc_id: r.component_id for r in want if r.doc_id >= 1000} == root and len(set(root.values())) > 5
     monkeypatch.setattr(J, "HOT_ROWS", -(1 << 40))
     monkeypatch.setattr(J, "FEW", 2)
     monkeypatch.setattr(J, "BLOCK", 4)
-    assert sorted(J.ngram_links(docs).collect()) == want
+    monkeypatch.setattr(J, "WORK", work)
+    assert sorted(J.ngram_links(table_).collect()) == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [[np.unique(rng.integers(0, 20_000, n)) for n in rng.integers(0, 9000, k)] for k in (5, 7)]
+    got = J._common_counts(*sets)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1]] for a in sets[0]]
+    assert J._common_counts([np.zeros(0, np.int64)], [np.arange(3)]).tolist() == [[0]]
 
 
 # 4

@@ -54,21 +54,31 @@ _KIND[_SPACE] = 0
 _KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
 
 
-def _hash_buffer(buf: bytes, lower: bool, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the maximal runs of bytes of one kind other than 0."""
-    raw = np.frombuffer(buf, np.uint8)
+def runs(raw: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs of bytes of one kind other than 0."""
     kinds = kind[raw]
     start = np.flatnonzero(np.diff(kinds, prepend=0))
     end = np.append(start[1:], len(raw))
     some = kinds[start] > 0
-    start, end = start[some], end[some]
+    return start[some], end[some]
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of the bytes from each start to each end; A-Z count as a-z if ``lower``."""
     power, inverse = _power(len(raw) + 1)
     value = _TABLE[_LOWER[raw] if lower else raw]
     value *= power[: len(raw)]
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
-    return start, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _hash_buffer(buf: bytes, lower: bool, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the maximal runs of bytes of one kind other than 0."""
+    raw = np.frombuffer(buf, np.uint8)
+    start, end = runs(raw, kind)
+    return start, run_hashes(raw, start, end, lower)
 
 
 def by_doc(doc: np.ndarray, h: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -91,7 +101,8 @@ def slices(batch: pa.RecordBatch, column: int = 1, size: int = 2 << 20, rows: in
         at = to
 
 
-def _parts(data: bytes):
+def parts(data: bytes):
+    """The text in parts of some ``PART`` bytes that end before white space."""
     at = 0
     while len(data) - at > PART:
         to = at + PART
@@ -128,7 +139,7 @@ def _hashed(texts: list[bytes], lower: bool, kind: np.ndarray) -> tuple[np.ndarr
         size = 0
 
     for k, data in enumerate(texts):
-        for part in _parts(data):
+        for part in parts(data):
             if size + len(part) > PART:
                 flush()
             group.append((k, part))

@@ -57,7 +57,7 @@ def test_secrets(steps):
     assert set(before) == set(after)
     field = S.default_field()
     for k, t in before.items():
-        spans = S.secret_spans(t, field)[1]
+        spans = S.secret_spans([t], field)[0][1]
         assert (after[k] == t) == (not spans)
         assert all(t[a:b] not in after[k] for a, b, _ in spans)
 

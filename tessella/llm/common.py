@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: For each ``scratch`` that is open, the tables staged since.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (local tests) a folder under the system's temp folder is used.
+    Where the setting is absent a folder under the system's temp folder is used if driver and executors are one
+    process; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tessella")
 
 
@@ -32,16 +41,52 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    for paths in _open:
+        paths.append(path)
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes a staged table that nothing will read any more."""
-    spark, path = df.sparkSession, df._staged_path
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._staged_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes on leaving all tables that were staged inside.
+
+    Operators return lazy results that read their staged tables, so those stay until someone who knows that the
+    results have been written deletes them; with ``scratch`` around operator and write, that is done here.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over the links ``x[k], y[k]``."""
+    comp = np.arange(n)
+    while True:
+        new = comp.copy()
+        np.minimum.at(new, x, comp[y])
+        np.minimum.at(new, y, comp[x])
+        new = new[new]
+        if (new == comp).all():
+            return comp
+        comp = new
+
+
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """Connected components of the undirected graph ``edges(a, b)``: rows ``(id, component_id)``.
 

@@ -8,18 +8,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessella.llm.common import components, staged
+from tessella.llm.common import components, spanning, staged
 
 #: Half width of the confidence interval of an estimate in standard errors: both tails are under 1e-8.
 SIGMAS = 6.0
 #: Chance that two vectors right at the threshold share no bucket.
 MISS = 1e-6
 #: Buckets up to this size are joined with themselves in SQL; larger ones are compared in blocks.
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK = 16, 512
 
 
 def plan(rows: int, threshold: float) -> tuple[int, int]:
@@ -75,10 +76,13 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _clean(batches):
     """Bytes of the usable vectors, as doubles; null for those that link with nothing."""
     for batch in batches:
-        rows = []
-        for v in batch.column(1).to_pylist():
-            x = None if v is None or not v or None in v else np.array(v, np.float64) + 0.0
-            rows.append(None if x is None or not np.isfinite(x).all() or not x.any() else x.tobytes())
+        size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False) + 0.0  # nulls are not a number here, and -0.0 is 0.0
+        ends = np.cumsum(size)
+        counts = [np.append(0, np.cumsum(x))[[ends, ends - size]] for x in (~np.isfinite(flat), flat != 0)]
+        (bad, some), data = ((x[0] - x[1] for x in counts), flat.tobytes())
+        good = (bad == 0) & (some > 0)
+        rows = [data[8 * (b - n) : 8 * b] if ok else None for b, n, ok in zip(ends.tolist(), size.tolist(), good.tolist(), strict=True)]
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["vec_id", "label", "raw"])
 
 
@@ -97,7 +101,7 @@ def _coded(bits: int, bands: int):
                 keys = code[:, : bits * bands].reshape(len(part), bands, bits) @ weights
                 yield part.assign(code=[x.tobytes() for x in np.packbits(code, 1)], factor=[x.tobytes() for x in factor], keys=list(keys))
 
-    return run, "rep long, label string, copies long, raw binary, code binary, factor binary, keys array<long>"
+    return run, "key long, rep long, label string, copies long, raw binary, code binary, factor binary, keys array<long>"
 
 
 def _bits(code, columns: int) -> np.ndarray:
@@ -135,7 +139,7 @@ def _blocks(threshold: float, width: int, bands: int):
         out = []
         band = int(pdf["band"].iloc[0])
         for (_, size), part in pdf.groupby(["label", pdf["raw"].str.len()]):
-            part = part.sort_values("rep", kind="stable").reset_index(drop=True)
+            part = part.sort_values("key", kind="stable").reset_index(drop=True)
             dim, raw = size // 8, _rows(part["raw"])
             factor = _rows(part["factor"])
             bits = _bits(part["code"], dim * factor.shape[1])
@@ -161,20 +165,12 @@ def _blocks(threshold: float, width: int, bands: int):
             x, y = x[sure], y[sure]
             if not len(x):
                 continue
-            copies, ids = part["copies"].to_numpy(), part["rep"].to_numpy()
+            copies, keys = part["copies"].to_numpy(), part["key"].to_numpy()
             links = np.bincount(x, copies[y], len(part)) + np.bincount(y, copies[x], len(part))
-            comp = np.arange(len(part))
-            while True:
-                new = comp.copy()
-                np.minimum.at(new, x, comp[y])
-                np.minimum.at(new, y, comp[x])
-                new = new[new]
-                if (new == comp).all():
-                    break
-                comp = new
+            comp = spanning(x, y, len(part))
             some = np.flatnonzero(links)
-            out.append(pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "other": ids[comp[some]]}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "other": []}).astype("int64")
+            out.append(pd.DataFrame({"key": keys[some], "links": links[some].astype(np.int64), "other": keys[comp[some]]}))
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "links": [], "other": []}).astype("int64")
 
     return run
 
@@ -189,17 +185,17 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     and counted as often as they occur. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without label or id, link with nothing and are their own component, as do
     vectors of different lengths. An empty table gives no rows; other columns are not read. Rows that
-    repeat an id are vectors of their own.
+    repeat an id are vectors of their own, with their own links; a component is named by the smallest id in it.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     raw = staged(raw.mapInArrow(_clean, "vec_id long, label string, raw binary"), "vectors")
     good = raw.where("raw is not null and label is not null and vec_id is not null")
     reps = good.groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = staged(reps.select("rep", "label", "copies", "raw"), "distinct")
+    # Each distinct vector has a number of its own: an id may occur with several labels or vectors.
+    reps = staged(reps.select(F.monotonically_increasing_id().alias("key"), "rep", "label", "copies", "raw"), "distinct")
     width, bands = plan(reps.count(), threshold)
     run, schema = _coded(width, bands)
-    # The row's own key: a vector id may occur with several labels or vectors.
-    coded = staged(reps.mapInPandas(run, schema).withColumn("key", F.xxhash64("label", "raw")), "codes")
+    coded = staged(reps.mapInPandas(run, schema), "codes")
 
     rows = coded.select("key", F.xxhash64("label", F.length("raw")).alias("g"), F.posexplode("keys").alias("band", "value"))
     rows = rows.select("key", F.xxhash64("g", "band", "value").alias("bucket"), "band")
@@ -213,26 +209,28 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     pairs = small.select("bucket", F.col("key").alias("x")).join(small.select("bucket", F.col("key").alias("y")), "bucket")
     pairs = pairs.where("x < y").select("x", "y").distinct()
     for x in "xy":
-        side = coded.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "copies", "raw", "code", "factor", "keys", "large")])
+        side = coded.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "copies", "raw", "code", "factor", "keys", "large")])
         pairs = pairs.join(side, x)
     both = F.exists(F.col("large_x"), lambda k: F.get("keys_x", k) == F.get("keys_y", k))
     pairs = pairs.where((F.col("label_x") == F.col("label_y")) & (F.length("raw_x") == F.length("raw_y")) & ~both)
     pairs = pairs.where(_linked(threshold)("raw_x", "code_x", "factor_x", "raw_y"))
-    found = staged(pairs.select("rep_x", "rep_y", "copies_x", "copies_y"), "pairs")
-    ones = found.select(F.col("rep_x").alias("rep"), F.col("copies_y").alias("links"), F.col("rep_y").alias("other"))
-    ones = ones.union(found.select("rep_y", "copies_x", "rep_x"))
+    found = staged(pairs.select("x", "y", "copies_x", "copies_y"), "pairs")
+    ones = found.select(F.col("x").alias("key"), F.col("copies_y").alias("links"), F.col("y").alias("other"))
+    ones = ones.union(found.select("y", "copies_x", "x"))
 
     count = F.ceil(F.col("c") / BLOCK).cast("int")
     parts = large.withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), count).cast("int"))
     parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
     parts = parts.select("bucket", "band", "block", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    parts = parts.join(coded.select("key", "rep", "label", "copies", "raw", "code", "factor", "large"), "key")
-    many = parts.groupBy("bucket", "i", "j").applyInPandas(_blocks(threshold, width, bands), "rep long, links long, other long")
+    parts = parts.join(coded.select("key", "label", "copies", "raw", "code", "factor", "large"), "key")
+    many = parts.groupBy("bucket", "i", "j").applyInPandas(_blocks(threshold, width, bands), "key long, links long, other long")
 
     links = staged(ones.union(many), "links")
-    label = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rep")
-    total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = reps.join(total, "rep", "left").join(label, "rep", "left").select("label", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component"))
+    label = components(links.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "key")
+    total = links.groupBy("key").agg(F.sum("links").alias("links"))
+    named = label.join(reps.select("key", "rep"), "key").groupBy("component_id").agg(F.min("rep").alias("component"))
+    groups = reps.join(total, "key", "left").join(label, "key", "left").join(named, "component_id", "left")
+    groups = groups.select("label", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = good.join(groups, ["label", "raw"]).select("vec_id", "links", "component")
     alone = raw.where("raw is null or label is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     out = out.union(alone)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessella.llm.common import components, staged, unstage
+from tessella.llm.common import components, spanning, staged, unstage
 from tessella.llm.wordhash import by_doc, mix, shingles, slices
 
 #: Counters of the frequency sketch: a fixed 2 MB, whatever the corpus.
@@ -199,17 +199,55 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out.astype(np.int64)
 
 
-def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The smallest place that each of ``n`` places reaches over the links ``x[k], y[k]``."""
-    comp = np.arange(n)
-    while True:
-        new = comp.copy()
-        np.minimum.at(new, x, comp[y])
-        np.minimum.at(new, y, comp[x])
-        new = new[new]
-        if (new == comp).all():
-            return comp
-        comp = new
+def _candidates(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows of both blocks, and which of their pairs pass the length and positional filters untried."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+    n, pos, comp, ids = (pdf[c].to_numpy() for c in ("n", "pos", "comp", "doc_id"))
+    na, nb = n[left, None], n[None, right]
+    ok = (comp[left, None] != comp[None, right]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    ok &= np.minimum(na - pos[left, None], nb - pos[None, right]) >= _need(na, nb, percent)
+    if i == j:
+        ok = np.triu(ok, 1)
+    for mine, other, turn in ((left, right, False), (right, left, True)):
+        hubs = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in pdf["tried"].iloc[mine]]
+        row, hub = np.repeat(np.arange(len(mine)), [len(x) for x in hubs]), np.concatenate([*hubs, np.zeros(0, np.int64)])
+        if len(other) and len(hub):
+            order = np.argsort(ids[other])
+            at = np.minimum(np.searchsorted(ids[other][order], hub), len(other) - 1)
+            hit = ids[other][order][at] == hub
+            row, at = row[hit], order[at[hit]]
+            ok[(at, row) if turn else (row, at)] = False
+    return _with_pairs(left, right, ok)
+
+
+def _with_pairs(left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same without the rows that are left without a pair."""
+    rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    return left[rows], right[columns], ok[np.ix_(rows, columns)]
+
+
+_ROW = {"token": "long", "i": "int", "j": "int", "block": "int", "doc_id": "long", "n": "int", "pos": "long", "comp": "long", "tried": "array<long>"}
+
+
+def _block_rows(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of two blocks of an n-gram's documents that have a pair which passes the suffix filter."""
+        left, right, ok = _candidates(pdf, percent)
+        # What two sets share can't exceed what they share in each class of hashed shingles: few classes, then all.
+        ca, cb = _counts(pdf["classes"].iloc[left]), _counts(pdf["classes"].iloc[right])
+        sa, sb = (x.reshape(len(x), COARSE, CLASSES // COARSE).sum(2) for x in (ca, cb))
+        full, n = (cb == 255).any(1), pdf["n"].to_numpy()
+        for k in range(len(left)):
+            at = np.flatnonzero(ok[k])
+            need = _need(n[left[k]], n[right[at]], percent)
+            ok[k, at] = full[at] | (np.minimum(sa[k], sb[at]).sum(1) >= need)
+            some = ok[k, at]
+            ok[k, at[some]] = _bound(ca[k], cb[at[some]]) >= need[some]
+        left, right, _ = _with_pairs(left, right, ok)
+        return pdf.iloc[np.union1d(left, right)][list(_ROW)]
+
+    return run
 
 
 def _block_links(percent: int):
@@ -219,45 +257,17 @@ def _block_links(percent: int):
         A pair is verified at the first n-gram of its prefixes that both have, and nowhere else, unless it was
         tried with a hub.
         """
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        n, pos, comp, ids = (pdf[c].to_numpy() for c in ("n", "pos", "comp", "doc_id"))
-        na, nb = n[left, None], n[None, right]
-        need = _need(na, nb, percent)
-        ok = (comp[left, None] != comp[None, right]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-        ok &= np.minimum(na - pos[left, None], nb - pos[None, right]) >= need
-        if i == j:
-            ok = np.triu(ok, 1)
-        for mine, other, turn in ((left, right, False), (right, left, True)):
-            hubs = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in pdf["tried"].iloc[mine]]
-            row, hub = np.repeat(np.arange(len(mine)), [len(x) for x in hubs]), np.concatenate([*hubs, np.zeros(0, np.int64)])
-            order = np.argsort(ids[other])
-            at = np.minimum(np.searchsorted(ids[other][order], hub), len(other) - 1)
-            hit = ids[other][order][at] == hub
-            row, at = row[hit], order[at[hit]]
-            ok[(at, row) if turn else (row, at)] = False
-        rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-        if not len(rows):
+        left, right, ok = _candidates(pdf, percent)
+        if not len(left):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        ok, need, left, right = ok[np.ix_(rows, columns)], need[np.ix_(rows, columns)], left[rows], right[columns]
-        # The suffix filter: what two sets share can't exceed what they share in each class of hashed shingles.
-        ca, cb = _counts(pdf["classes"].iloc[left]), _counts(pdf["classes"].iloc[right])
-        sa, sb = (x.reshape(len(x), COARSE, -1).sum(2) for x in (ca, cb))
-        full = (cb == 255).any(1)
-        for k in np.flatnonzero(ok.any(1)):
-            at = np.flatnonzero(ok[k])
-            ok[k, at] = full[at] | (np.minimum(sa[k], sb[at]).sum(1) >= need[k, at])
-            at = np.flatnonzero(ok[k])
-            ok[k, at] = _bound(ca[k], cb[at]) >= need[k, at]
-        rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-        if not len(rows):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        ok, need, left, right = ok[np.ix_(rows, columns)], need[np.ix_(rows, columns)], left[rows], right[columns]
+        n, pos, ids = (pdf[c].to_numpy() for c in ("n", "pos", "doc_id"))
         sets = {k: np.asarray(pdf["set"].iloc[k], np.int64) for k in {*left, *right}}
         before = _common_counts([sets[k][: pos[k]] for k in left], [sets[k][: pos[k]] for k in right])
-        x, y = np.nonzero(ok & (before == 0) & (_common_counts([sets[k] for k in left], [sets[k] for k in right]) >= need))
+        left, right, ok = _with_pairs(left, right, ok & (before == 0))
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        common = _common_counts([sets[k] for k in left], [sets[k] for k in right])
+        x, y = np.nonzero(ok & (common >= _need(n[left, None], n[None, right], percent)))
         comp = spanning(left[x], right[y], len(pdf))
         some = np.flatnonzero(comp != np.arange(len(pdf)))
         return pd.DataFrame({"a": ids[comp[some]], "b": ids[some]})
@@ -298,8 +308,7 @@ class _Join:
         first, second = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         both = pairs.join(first, "a").join(second, "b").withColumn("common", _common("sa", "sb"))
         links = staged(both.where(need("common")).select("a", "b"), "links")
-        unstage(sets)
-        unstage(pairs)
+        unstage(sets, pairs)
         return links
 
     def hub_pairs(self, rows: DataFrame, hubs: list[str]) -> DataFrame:
@@ -318,7 +327,6 @@ class _Join:
         largest component (``major``) are not compared with each other: they are spread over blocks of
         their own, and only the others' blocks are compared with all.
         """
-        sets = self.sets(rows.select("doc_id").distinct(), self.sketch)
         own = tried.groupBy("doc_id").agg(F.collect_set("hub").alias("tried"))
         is_major = F.col("comp") == F.col("major")
         weight = F.greatest(F.lit(1.0 / BLOCK), F.col("shingles") / F.col("c") / BLOCK_SHINGLES)
@@ -328,11 +336,14 @@ class _Join:
         spread = F.when(is_major, F.col("few") + F.pmod(F.xxhash64("doc_id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("few")))
         with_ = F.when(is_major, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
         rows = rows.select("token", "doc_id", "n", "pos", "comp", spread.cast("int").alias("block"), with_.alias("with"))
-        rows = rows.join(self.profile.select("doc_id", "classes"), "doc_id").join(sets, "doc_id").join(own, "doc_id", "left")
+        rows = rows.join(self.profile.select("doc_id", "classes"), "doc_id").join(own, "doc_id", "left")
         rows = rows.withColumn("other", F.explode("with")).drop("with")
         rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-        links = staged(rows.groupBy("token", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "block-links")
-        unstage(sets)
+        # Sets are only sent for documents that have a pair left.
+        rows = staged(rows.groupBy("token", "i", "j").applyInPandas(_block_rows(self.percent), ", ".join(f"{k} {v}" for k, v in _ROW.items())), "block-rows")
+        sets = self.sets(rows.select("doc_id").distinct(), self.sketch)
+        links = staged(rows.join(sets, "doc_id").groupBy("token", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "block-links")
+        unstage(sets, rows)
         return links
 
 
@@ -412,14 +423,14 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_tokens = staged(hot.groupBy("token").agg(least.alias("x"), most.alias("y")).where("x <> y").select("token"), "open-hot")
     cold = rows.where("at >= 0").withColumns({"x": least.over(group), "y": most.over(group)}).where("x <> y")
     rows = staged(cold.select(*rows.columns).unionByName(hot.join(open_tokens, "token").select(*rows.columns)), "open")
-    for t in (found, tops, open_tokens):
-        unstage(t)
+    unstage(found, tops, open_tokens)
     small = rows.where(F.col("c") <= FEW)
     left, right = (small.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "pos", "comp")]) for x in "ab")
     near = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("compa") != F.col("compb")) & _fits(percent, "na", "nb", "posa", "posb")
     few = left.join(right, "token").where(near).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))
-    few = few.distinct().join(pairs(tried), ["a", "b"], "left_anti")
-    links = staged(links.union(join.verified(staged(few, "rest-pairs"))), "links")
+    few = staged(few.distinct().join(pairs(tried), ["a", "b"], "left_anti"), "rest-pairs")
+    links = links.union(join.verified(few))
+    unstage(few)
 
     rows, work = rows.where(F.col("c") > FEW).drop("comp"), None
     for k in range(1, ROUNDS + 1):
@@ -439,6 +450,7 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.union(join.in_blocks(rows, tried))
 
     label = components(links, "comps").select(F.col("id").alias("rep"), "component_id")
+    unstage(tried)
     member = members.join(label, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     member = member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     # The smallest id of a class is its representative, so the smallest representative is the smallest id.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import staged
+from tessella.llm.common import staged, unstage
 
 #: Bytes of a block at the lowest level.
 BLOCK_BYTES = 2048
@@ -29,18 +29,24 @@ def _name_blocks(blocks: DataFrame, fingerprint: Callable[[str], Column]) -> Dat
     """``blocks`` with ``name`` instead of ``block``; equal names exactly for equal blocks.
 
     Only distinct blocks are shuffled whole. Rows find their name by a fingerprint of the block
-    where just one block has that fingerprint; where several have, by the block itself.
+    where just one block has that fingerprint; where several have, by the block itself. Both sides of these joins
+    are tables, so adaptive execution can split the rows of a frequent block over tasks.
     """
     rest = [c for c in blocks.columns if c != "block"]
     blocks = blocks.withColumn("h", fingerprint("block"))
     names = staged(_named(blocks, ["block", "h"]).select("h", "name"), "names")
     several = staged(names.groupBy("h").count().where("count > 1").select("h"), "clashes")
     if not several.limit(1).count():
-        return blocks.select("h", *rest).join(names, "h").select(*rest, "name")
+        out = staged(blocks.select("h", *rest).join(names, "h").select(*rest, "name"), "level")
+        unstage(names, several)
+        return out
     plain = blocks.select("h", *rest).join(names.join(several, "h", "left_anti"), "h").select(*rest, "name")
     clash = blocks.join(several, "h")
-    clash = clash.join(staged(_named(clash, ["block"]), "clash-names"), "block").select(*rest, (-1 - F.col("name")).alias("name"))
-    return plain.unionByName(clash)
+    clash_names = staged(_named(clash, ["block"]), "clash-names")
+    clash = clash.join(clash_names, "block").select(*rest, (-1 - F.col("name")).alias("name"))
+    out = staged(plain.unionByName(clash), "level")
+    unstage(names, several, clash_names)
+    return out
 
 
 def identities(docs: DataFrame, key: Column, text: Column, extra: dict[str, Column] | None = None, block_bytes: int = BLOCK_BYTES, fingerprint: Callable[[str], Column] = F.xxhash64) -> DataFrame:
@@ -57,9 +63,9 @@ def identities(docs: DataFrame, key: Column, text: Column, extra: dict[str, Colu
     cut = rows.select("key", "n_blocks", "data", *extra, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("at"))
     block = F.expr(f"substring(data, at * {block_bytes} + 1, {block_bytes})").alias("block")
     blocks = cut.select("key", "n_blocks", "at", block, *[F.when(F.col("at") == 0, F.col(k)).alias(k) for k in extra])
-    level = staged(_name_blocks(blocks, fingerprint), "level")
+    level = _name_blocks(blocks, fingerprint)
     rest = level.where("n_blocks > 1").select("key", "n_blocks", "at", "name")
-    most = rest.agg(F.max("n_blocks")).first()[0] or 1
+    most, done = rest.agg(F.max("n_blocks")).first()[0] or 1, []
     while most > 1:
         odd = F.col("at") % 2 == 1
         left, right = F.max(F.when(~odd, F.col("name"))).alias("l"), F.max(F.when(odd, F.col("name"))).alias("r")
@@ -67,10 +73,14 @@ def identities(docs: DataFrame, key: Column, text: Column, extra: dict[str, Colu
         pairs = staged(pairs.withColumn("r", F.coalesce("r", F.lit(_NONE))), "pairs")
         names = staged(_named(pairs, ["l", "r"]), "names")
         rest = staged(pairs.join(names, ["l", "r"]).select("key", "n_blocks", "at", "name"), "level")
+        unstage(pairs, names, *done)
+        done = [rest]
         most = (most + 1) // 2
     firsts = level.where("n_blocks > 1 and at = 0").select("key", *extra)
     long = rest.join(firsts, "key").select("key", "n_blocks", "name", *extra)
-    return level.where("n_blocks = 1").select("key", "n_blocks", "name", *extra).unionByName(long)
+    out = staged(level.where("n_blocks = 1").select("key", "n_blocks", "name", *extra).unionByName(long), "identities")
+    unstage(level, *done)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,7 +94,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = F.monotonically_increasing_id()
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    named = staged(identities(numbered, key, F.col("text"), {"doc_id": F.col("doc_id"), "sha": sha}), "named")
-    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    named = identities(numbered, key, F.col("text"), {"doc_id": F.col("doc_id"), "sha": sha})
+    # A table too, so that the rows of a large group can be split over tasks.
+    groups = staged(named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = named.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tessella.llm.common import components, spanning, staged
+from tessella.llm.common import components, spanning, staged, unstage
 
 #: Half width of the confidence interval of an estimate in standard errors: both tails are under 1e-8.
 SIGMAS = 6.0
@@ -195,7 +195,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     reps = staged(reps.select(F.monotonically_increasing_id().alias("key"), "rep", "label", "copies", "raw"), "distinct")
     width, bands = plan(reps.count(), threshold)
     run, schema = _coded(width, bands)
-    coded = staged(reps.mapInPandas(run, schema), "codes")
+    codes = coded = staged(reps.mapInPandas(run, schema), "codes")
 
     rows = coded.select("key", F.xxhash64("label", F.length("raw")).alias("g"), F.posexplode("keys").alias("band", "value"))
     rows = rows.select("key", F.xxhash64("g", "band", "value").alias("bucket"), "band")
@@ -226,6 +226,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     many = parts.groupBy("bucket", "i", "j").applyInPandas(_blocks(threshold, width, bands), "key long, links long, other long")
 
     links = staged(ones.union(many), "links")
+    unstage(codes, coded, rows, found)
     label = components(links.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "key")
     total = links.groupBy("key").agg(F.sum("links").alias("links"))
     named = label.join(reps.select("key", "rep"), "key").groupBy("component_id").agg(F.min("rep").alias("component"))

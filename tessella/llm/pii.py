@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.wordhash import slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,22 +74,34 @@ _LOOKALIKES = {
 }
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
 
-_SPELLED = {w: str(k) for k, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_WORD = r"(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
+# The digits in English, Spanish, French and German, and the words for at, dot and plus.
+_SPELLED = {w: str(k) for words in (
+    "zero one two three four five six seven eight nine", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun",
+) for k, w in enumerate(words.split())} | {"oh": "0", "zwo": "2"}
+_AT_WORD, _DOT_WORD, _PLUS_WORD = "(?:at|arroba|arobase)", "(?:dot|punto|point|punkt)", "(?:plus|más)"
+_WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 #: A longest run of number words and digits, read once; ``plus`` may stand before it.
-_NUMBERS = re.compile(rf"(?i)(?:\b(?:plus[\s,-]+)?|\+)(?:{_WORD}|[0-9]+)\b(?:[\s,-]+(?:{_WORD}|[0-9]+)\b)*+")
+_NUMBERS = re.compile(rf"(?i)(?:\b(?:{_PLUS_WORD}[\s,-]+)?|\+)(?:{_WORD}|[0-9]+)\b(?:[\s,-]+(?:{_WORD}|[0-9]+)\b)*+")
 #: Digits are spelled where a run has three number words in a row; other runs only count as a card or phone.
 _THREE = re.compile(rf"(?i)\b{_WORD}[\s,-]+{_WORD}[\s,-]+{_WORD}\b")
-_PART = re.compile(rf"(?i){_WORD}|plus|[0-9]+")
-_BRACKETED_AT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
-_BRACKETED_DOT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
+#: What any run that counts holds: two number words, or one and a digit, side by side.
+_WORDS_CLOSE = re.compile(rf"\b{_WORD}[\s,-]++(?:{_WORD}|[0-9])|[0-9][\s,-]++{_WORD}\b")
+_PART = re.compile(rf"(?i){_WORD}|{_PLUS_WORD}|[0-9]+")
+_BRACKETED_AT = re.compile(rf"(?i)(?:(?<!\s)\s++)?[\[({{<]\s*(?:{_AT_WORD}|@)\s*[\])}}>]\s*")
+_BRACKETED_DOT = re.compile(rf"(?i)(?:(?<!\s)\s++)?[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*")
 #: An at with the domain after it, whose dots are spoken or plain; the local part is found from there on to the left.
-_SPOKEN = re.compile(r"(?i)((?<!\s)\s++at\s++|@)([A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)")
+_SPOKEN = re.compile(rf"(?i)((?<!\s)\s++{_AT_WORD}\s++|@)([A-Za-z0-9-]++(?:(?:\s++{_DOT_WORD}\s++|\.)[A-Za-z0-9-]++)++)")
 #: The last label of a domain with plain dots after a spoken at, so that times and numbers are none.
 _TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
 #: What a spoken at needs before a domain whose dots are plain.
-_AT = re.compile(r"\sat\s+[a-z0-9-]++\.[a-z0-9-]")
-_SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+")
+_AT = re.compile(rf"\s{_AT_WORD}\s+[a-z0-9-]++\.[a-z0-9-]")
+#: What a spoken at needs before a domain with a spoken dot.
+_AT_DOT = re.compile(rf"\s{_AT_WORD}\s+[a-z0-9-]++(?:\.[a-z0-9-]++)*+\s+{_DOT_WORD}\s")
+_SPOKEN_DOT = re.compile(rf"(?i)\s+{_DOT_WORD}\s+")
+#: A spoken dot at the end of a local part's left side.
+_DOT_END = re.compile(rf"(?i)\s{_DOT_WORD}\Z")
+_DOTS = ("dot", "punto", "point", "punkt")
 
 
 class Tape:
@@ -138,8 +153,8 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
                 own.append((end, p.start(), ""))
             word = p[0].lower()
             if not word[0].isdigit():
-                words += word != "plus"
-                own.append((*p.span(), "+" if word == "plus" else _SPELLED[word]))
+                words += word in _SPELLED
+                own.append((*p.span(), _SPELLED.get(word, "+")))
             new += own[-1][2] if not word[0].isdigit() else word
             end = p.end()
         if words and (_THREE.search(text, *m.span()) or _is_number(new)):
@@ -163,18 +178,17 @@ def _local_parts(text: str, at: int, free: int) -> list[tuple[int, int]]:
             start -= 1
         if start == end:
             return dots[:-1]  # no local part before that dot
-        if dots and text[start:end].lower() == "dot":
+        if dots and text[start:end].lower() in _DOTS:
             return dots[:-1]
         word = start
         while word > free and text[word - 1].isspace():
             word -= 1
-        if word == start or text[max(free, word - 3) : word].lower() != "dot":
+        dot = _DOT_END.search(text, max(free, word - 6), word)
+        if word == start or not dot:
             return dots
-        left = word - 3
+        left = dot.start() + 1
         while left > free and text[left - 1].isspace():
             left -= 1
-        if left == word - 3:
-            return dots
         dots.append((left, start))
         end = left
 
@@ -185,7 +199,10 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
         at = m.start()
         if at == free or text[at - 1] not in _LOCAL:
             continue
-        spoken = [d.span() for d in _SPOKEN_DOT.finditer(text, *m.span(2))]
+        dots = list(_SPOKEN_DOT.finditer(text, *m.span(2)))
+        if m[1].strip().lower() == "at" and any(d[0].strip().lower() == "point" for d in dots):
+            continue  # "at this point in time"; French has its own word for at
+        spoken = [d.span() for d in dots]
         if m[1] != "@":
             if not spoken and not _TOP.search(m[2]):
                 continue
@@ -204,9 +221,9 @@ def normalised(text: str) -> Tape | None:
         for pattern, new in ((_BRACKETED_AT, "@"), (_BRACKETED_DOT, ".")):
             tape.rewrite([(*m.span(), new) for m in pattern.finditer(tape.text)])
     lower = tape.text.lower()
-    if "dot" in lower or _AT.search(lower):
+    if "@" in lower and any(d in lower for d in _DOTS) or _AT.search(lower) or _AT_DOT.search(lower):
         tape.rewrite(_spoken(tape.text))
-    if any(w in lower for w in _SPELLED):
+    if _WORDS_CLOSE.search(lower):
         tape.rewrite(_spelled_digits(tape.text))
     return None if tape.text == text else tape
 
@@ -217,10 +234,15 @@ def pii_spans(text: str) -> tuple[list[Span], list[Span]]:
     tape = normalised(text)
     if tape is None:
         return base, base
+    starts, reach = [], []  # of base spans by start, with the farthest end so far
+    for a, b, _ in sorted(base):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
     more: set[Span] = set()
     for a, b, kind in base_spans(tape.text):
         span = (tape.starts[a], tape.ends[b - 1], kind)
-        if not any(x <= span[0] and span[1] <= y for x, y, _ in base):
+        k = bisect.bisect_right(starts, span[0])
+        if not k or reach[k - 1] < span[1]:  # no base span holds it
             more.add(span)
     return base, sorted([*base, *more], key=lambda s: (KINDS.index(s[2]), s[0], s[1]))
 
@@ -230,7 +252,7 @@ def _said(spans: list[Span]) -> str:
 
 
 def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``.
 
     Spans are in code points, end exclusive, of the whole text as it stands; a null text counts as
     empty. Counts and hash are of plainly written data; ``spans`` also has what shows once homoglyphs,
@@ -239,13 +261,13 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = pii_spans(text or "")
-                rows.append((*[sum(k == s[2] for s in base) for k in KINDS], hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*[sum(k == s[2] for s in base) for k in KINDS], hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), len(spans)))
+            columns = zip(*rows, strict=True)
+            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()], strict=True)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

@@ -468,31 +468,76 @@ def test_pii_leaves_prose_alone():
 # 9
 
 
+def _stretch_hash(words, base, turn):
+    """The hash of a stretch by its definition, in plain integers."""
+    h, _ = D.word_hashes([" ".join(words).encode()])
+    mixed = D.mix(h + np.uint64(turn)).tolist()
+    total = sum(v * pow(base, k, 1 << 64) for k, v in enumerate(mixed)) % (1 << 64)
+    return int(D.mix(np.array([total], np.uint64))[0])
+
+
 def test_spans_against_brute_force(spark):
+    """Runs of sentences and stretches of words, found and removed by their definition."""
     rng = random.Random(12)
     pool = [" ".join(rng.choices(WORDS, k=rng.randint(3, 12))).capitalize() + rng.choice(".!?") for _ in range(40)]
-    docs = [(k, rng.choice([" ", "\n"]).join(rng.choices(pool, k=rng.randint(0, 12)))) for k in range(80)]
-    seen, gone = set(), {k: set() for k, _ in docs}
+    some = lambda: pool[(at := rng.randrange(38)) : at + rng.randint(1, 6)]
+    docs = [(k, rng.choice([" ", "\n"]).join(s for _ in range(rng.randint(0, 4)) for s in some())) for k in range(70)]
+    passage = " ".join(rng.choices(WORDS, k=58))
+    docs += [(k, f"{' '.join(rng.choices(WORDS, k=rng.randint(0, 9)))} {passage} {' '.join(rng.choices(WORDS, k=rng.randint(0, 9)))}") for k in range(70, 76)]
+    docs += [(k, "One and the same sentence.") for k in range(76, 79)]
+    runs, picked = {}, {}
     for k, text in docs:
-        own = [text[a:b] for a, b in D.sentences(text)]
-        size = min(2, len(own))
+        own = [" ".join(text[a:b].lower().split()) for a, b in D.sentences(text)]
+        size = min(D.RUN, len(own))
         for at in range(len(own) - size + 1 if own else 0):
-            words = " ".join(own[at : at + size]).lower().split()
-            key = tuple(" ".join(s.lower().split()) for s in own[at : at + size])
-            if len(words) >= 12:
-                if key in seen:
-                    gone[k] |= set(range(at, at + size))
-                seen.add(key)
+            runs.setdefault(tuple(own[at : at + size]), []).append((k, at))
+        words = text.lower().split()
+        hashes = [_stretch_hash(words[at : at + D.STRETCH], D._BASES[0], 0) for at in range(len(words) - D.STRETCH + 1)]
+        starts = {min(range(at, at + D.NEAR), key=lambda i: (hashes[i], i)) for at in range(len(hashes) - D.NEAR + 1)}
+        for at in sorted(starts):
+            picked.setdefault(tuple(words[at : at + D.STRETCH]), []).append((k, at))
+    sentences_gone, words_gone = {k: set() for k, _ in docs}, {k: set() for k, _ in docs}
+    for key, places in runs.items():
+        for k, at in sorted(places)[1:]:
+            sentences_gone[k] |= set(range(at, at + len(key)))
+    for places in picked.values():
+        first = min(places)
+        for k, at in sorted(places)[1:]:
+            words_gone[k] |= set(range(max(at, first[1] + D.STRETCH) if k == first[0] else at, at + D.STRETCH))
     got = {r.doc_id: r for r in D.span_dedup(table(spark, docs)).collect()}
-    assert sum(map(len, gone.values())) > 50
+    assert sum(map(len, sentences_gone.values())) > 50 and sum(map(bool, words_gone.values())) > 5
+    assert [(got[k].n_sentences, got[k].n_removed, got[k].text) for k in range(76, 79)] == [(1, 0, docs[76][1]), (1, 1, ""), (1, 1, "")]
     for k, text in docs:
         own, r = D.sentences(text), got[k]
-        assert (r.n_sentences, r.n_removed) == (len(own), len(gone[k]))
-        keep = [text[a:b] for n, (a, b) in enumerate(own) if n not in gone[k]]
-        assert [r.text[a:b] for a, b in D.sentences(r.text)] == keep
+        keep = []
+        for n, m in enumerate(re.finditer(r"\S+", text)):
+            at = next(i for i, (a, b) in enumerate(own) if a <= m.start() < b)
+            if at not in sentences_gone[k] and n not in words_gone[k]:
+                keep.append(m[0])
+        assert r.text.split() == keep and r.n_sentences == len(own) and r.n_removed >= len(sentences_gone[k])
         assert r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_pii_many_addresses_take_linear_time():
+    text = "".join(f"a{k}@mail.org, " for k in range(20_000)) + "jane [at] mail.org"
+    began = time.time()
+    base, spans = P.pii_spans(text)
+    assert time.time() - began < 2 and len(base) == 20_000 and len(spans) == 20_001
+
+
+def test_pii_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    texts |= {-1: "jane arroba mail punto es; call más uno dos tres cuatro cinco seis siete ocho nueve", -2: "jane@mail.org 10.0.0.1"}
+    said = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+    got = P.pii_scan(table(spark, list(texts.items()))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base, spans = P.pii_spans(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_spans) == (*[sum(k == s[2] for s in base) for k in P.KINDS], len(spans))
+        assert (r.base_sha256, r.spans) == (hashlib.sha256(said(base).encode()).hexdigest(), said(spans))
+
+
 def test_pii_long_runs_take_linear_time():
     began = time.time()
     base, spans = P.pii_spans("john none [at] " + " " * 200_000 + "12, 345 " * 100_000 + "mail jo  [at]  ex (dot) com")
@@ -542,13 +587,18 @@ def test_long_passages_wherever_they_start(spark):
     ("card 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one now", "card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
     ("call plus 5 five 5 five 0 one 2 three 4 five now", "phone", "plus 5 five 5 five 0 one 2 three 4 five"),
     ("call +1 five 5 five 0 one 2 three 4 five now", "phone", "+1 five 5 five 0 one 2 three 4 five"),
+    ("escribe a juan punto paz arroba correo punto es ya", "email", "juan punto paz arroba correo punto es"),
+    ("écris à marie arobase courriel point fr merci", "email", "marie arobase courriel point fr"),
+    ("ruf plus vier neun eins zwei drei vier fünf sechs sieben an", "phone", "plus vier neun eins zwei drei vier fünf sechs sieben"),
+    ("appelle plus trois trois un deux trois quatre cinq six sept huit vite", "phone", "plus trois trois un deux trois quatre cinq six sept huit"),
+    ("llama al más tres cuatro seis uno dos tres cuatro cinco seis ya", "phone", "más tres cuatro seis uno dos tres cuatro cinco seis"),
 ])
 def test_pii_in_mixed_disguise(text, kind, part):
     assert (text.index(part), text.index(part) + len(part), kind) in P.pii_spans(text)[1]
 
 
 def test_pii_mixed_runs_of_other_length_stay():
-    for text in ("pick 1 or two of 3, four at 5", "one 2 three 4 five", "look at it. The dot at noon", "we meet at 3.30 or at 10.15.", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 two"):
+    for text in ("pick 1 or two of 3, four at 5", "one 2 three 4 five", "look at it. The dot at noon", "we meet at 3.30 or at 10.15.", "we stood at this point in time", "un dos tres ya", "il y a un an et deux ou trois mois", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 two"):
         assert P.pii_spans(text) == ([], [])
     began = time.time()
     P.pii_spans("a dot " * 100_000 + "at b" + " at " * 100_000 + "1 two " * 100_000 + "a.b-" * 100_000 + " at c")

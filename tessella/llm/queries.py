@@ -66,7 +66,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup(_table(spark, sf_dir, "documents"), run=2, words=12).drop("text")
+    return span_dedup(_table(spark, sf_dir, "documents"), run=4).drop("text")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

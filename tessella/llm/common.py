@@ -49,10 +49,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def unstage(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read any more."""
     for df in tables:
-        _delete(df.sparkSession, df._staged_path)
+        delete(df.sparkSession, df._staged_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -71,7 +72,7 @@ def scratch(spark: SparkSession):
     finally:
         _open.remove(paths)
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:

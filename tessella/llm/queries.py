@@ -7,8 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from tessella.llm.embedding_dedup import embedding_dedup
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.ngram_join import ngram_links
@@ -87,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_pii,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 _RULE_ROWS = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in URL_RULES)
 

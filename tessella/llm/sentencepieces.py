@@ -19,6 +19,8 @@ _SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Chunks longer than this are relaxed one edge at a time from a heap instead of all chunks in step.
 LONG = 64
+#: Characters of one suffix array, so that its tables (some 200 bytes a character) stay bounded; a longer chunk has one alone.
+BUFFER = 1 << 18
 
 
 def _pad(strings: list[str], width: int, fill: int = 0) -> np.ndarray:
@@ -73,6 +75,17 @@ class Pieces:
         return out
 
     def encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; the chunks' text is indexed in buffers of some ``BUFFER`` characters."""
+        out, group, size = [], [], 0
+        for c in chunks:
+            if group and size + len(c) > BUFFER:
+                out += self._encode(group)
+                group, size = [], 0
+            group.append(c)
+            size += len(c) + 1
+        return out + self._encode(group) if group else out
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
         text = [c.replace(" ", _SPACE) for c in chunks]
         size = np.array([len(t) for t in text])
         buffer = np.frombuffer("\0".join([*text, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -198,9 +211,14 @@ def _cache(path: str) -> tuple[Pieces, ChunkCache]:
     return pieces, ChunkCache(lambda new: pieces.encode([f" {c}" for c in new]), _split)
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, as the vocabulary's own library gives them."""
-    return _cache(path)[1](texts)
+def encode_texts(texts: list[str], path: str, cached: bool = True) -> list[np.ndarray]:
+    """Ids of each text, as the vocabulary's own library gives them.
+
+    No piece reaches over a space before a word, so a batch is cut there, and each distinct chunk is indexed and
+    relaxed once: with ``cached``, only those that no batch of this worker had before; else all of the batch's.
+    """
+    pieces, cache = _cache(path)
+    return (cache if cached else ChunkCache(cache.encode, _split))(texts)
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:

@@ -12,7 +12,7 @@ from tessella.llm.common import staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The rules come as a list of the driver, and the filters' bits are some tens of bits a rule.
+#: The filters' bits, some tens of bits a rule, go to every task: beyond so many rules they are joined by key instead.
 MOST_RULES = 1_000_000
 
 
@@ -123,10 +123,9 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", url_
     The rule of the most characters (host and path together) that fits wins; of two rules with the
     same host and path, ``block`` wins. Pages that no rule fits get ``default`` and a null ``rule``. A
     null or empty URL, or one without ``://``, has an empty host and path, which no rule fits. An
-    empty table gives no rows; only the two named columns are read.
+    empty table gives no rows; only the two named columns are read. More than ``MOST_RULES`` rules would make
+    filters too large to send with each task; they are looked up by a join, with the same results.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -134,6 +133,8 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", url_
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     listed = spark.createDataFrame([(r.key, r.action) for r in rules], "key string, action string")
     rows = rows.withColumn("candidates", _candidates(rules, F.col("host"), F.col("path")))
+    if len(rules) > MOST_RULES:
+        return _by_join(rows, listed, default)
     universe = rows.select(F.explode("candidates.key").alias("key"))
     any_rule = Cascade(listed.select("key"), universe)
     blocking = Cascade(listed.where("action = 'block'").select("key"), listed.select("key"))
@@ -141,3 +142,13 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", url_
     out = rows.select("page_id", "host", "path", best.alias("rule"))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocking.holds(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", verdict)
+
+
+def _by_join(rows: DataFrame, listed: DataFrame, default: str) -> DataFrame:
+    """The verdicts by looking up each row's candidate keys among the rules."""
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
+    rules = listed.groupBy("key").agg(F.max("action").alias("action"))  # block is the larger word
+    hits = rows.select("row", F.explode("candidates").alias("c")).select("row", "c.n", "c.key").join(rules, "key")
+    best = hits.groupBy("row").agg(F.max(F.struct("n", "key", "action")).alias("best"))
+    out = rows.join(best, "row", "left")
+    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -165,6 +165,51 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(pairs) > 0.85
 
 
+def test_quality_against_plain_dictionaries(spark):
+    """Context vectors, pooling and the network's forward pass, each by its definition."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choices(["the", "Cat's", "x_1", "--", "über", "r2!d2", "and\nthen", "plain"], k=rng.randint(0, 30))) for _ in range(40)]
+    docs = table(spark, [*enumerate(texts), (99, None)]).repartition(4)
+    split = lambda t: re.findall(r"[A-Za-z0-9_\u0080-\U0010ffff]+|[^A-Za-z0-9_\u0080-\U0010ffff\s]+", t)
+    bucket = {w: int(Q.tokens([w.encode()])[0][0] >> np.uint64(51)) for t in texts for w in split(t)}
+    context, count = {}, {}
+    for t in texts:
+        own = [bucket[w] for w in split(t)]
+        for k, w in enumerate(own):
+            count[w] = count.get(w, 0) + 1
+            for j in range(max(0, k - Q.REACH), min(len(own), k + Q.REACH + 1)):
+                if j != k:
+                    v = context.setdefault(w, [0.0] * Q.DIM)
+                    for place, sign in zip(Q._PLACE[own[j]], Q._SIGN[own[j]], strict=True):
+                        v[place] += sign
+    total = sum(count.values())
+    vectors = Q.word_vectors(docs)
+    for w in count:
+        own = context.get(w, [0.0] * Q.DIM)
+        norm = max(1e-9, sum(x * x for x in own) ** 0.5)
+        index = [0.0] * Q.DIM
+        for place, sign in zip(Q._PLACE[w], Q._SIGN[w], strict=True):
+            index[place] = sign / Q.ENTRIES**0.5
+        assert np.allclose(vectors[w], [*[x / norm for x in own], *index, 1e-2 / (1e-2 + count[w] / total)])
+    pooled = Q.pool([t.encode() for t in texts], vectors)
+    for t, row in zip(texts, pooled, strict=True):
+        own = [vectors[bucket[w]] for w in split(t)]
+        weight = max(1e-12, sum(v[-1] for v in own))
+        assert np.allclose(row, [*[sum(v[-1] * v[k] for v in own) / weight for k in range(2 * Q.DIM)], bool(own)])
+    y = np.array([k % 3 == 0 for k in range(len(texts))], float)
+    net = Q.Network(pooled, y)
+    for row, score in zip(pooled, net.scores(pooled), strict=True):
+        x = [(a - m) / s for a, m, s in zip(row, net.mean, net.scale, strict=True)]
+        hidden = [np.tanh(sum(a * w for a, w in zip(x, net.p[0][:, j], strict=True)) + net.p[1][j]) for j in range(Q.HIDDEN)]
+        z = (sum(h * w for h, w in zip(hidden, net.p[2], strict=True)) + net.p[3][0]) / net.temperature
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+    labels = table(spark, [(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")
+    fitted_vectors, fitted = Q.fit(docs, labels)
+    got = {r.doc_id: r.score for r in Q.quality(docs, labels).collect()}
+    want = fitted.scores(Q.pool([*[t.encode() for t in texts], b""], fitted_vectors))
+    assert all(abs(got[k] - w) < 1e-9 for k, w in zip([*range(len(texts)), 99], want, strict=True))
+
+
 def test_quality_ignores_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     other = labels.withColumn("quality", F.when(Q.is_held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -287,8 +332,22 @@ def test_pieces_against_the_library(spark):
         want = model.encode(text)
         assert ids.tolist() == want, text[:80]
         assert W.decode_ids(ids, PIECE) == model.decode(want)
-    docs = table(spark, list(enumerate(texts)))
-    assert W.decode_documents(W.encode_documents(docs, PIECE), PIECE).count() == len(texts)
+    for a, b in zip(W.encode_texts(texts, PIECE), W.encode_texts(texts, PIECE, cached=False), strict=True):
+        assert a.tolist() == b.tolist()
+    docs = table(spark, [*enumerate(texts), (-1, None)])
+    decoded = {r.doc_id: r.text for r in W.decode_documents(W.encode_documents(docs, PIECE), PIECE).collect()}
+    assert decoded == {k: model.decode(model.encode(t)) for k, t in enumerate(texts)} | {-1: ""}
+    digest = {r.doc_id: r for r in W.encode_digest(docs, PIECE).collect()}
+    for k, text in [*enumerate(texts), (-1, "")]:
+        ids = np.array(model.encode(text), "<u4")
+        assert (digest[k].n_ids, digest[k].ids_crc32, digest[k].round_trip) == (len(ids), zlib.crc32(ids.tobytes()), model.decode(ids.tolist()) == text)
+
+
+def test_pieces_in_small_buffers(monkeypatch):
+    texts = ["aaaa" * 50 + " two words", "日本語 текст 😀 " + "é" * 300, ""]
+    want = [x.tolist() for x in W.encode_texts(texts, PIECE, cached=False)]
+    monkeypatch.setattr(W, "BUFFER", 5)
+    assert [x.tolist() for x in W.encode_texts(texts, PIECE, cached=False)] == want
 
 
 # 6
@@ -303,7 +362,9 @@ def test_cascade_is_exact(spark):
     assert found == set(range(0, 4000, 3))
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("most", [10, 0])
+def test_urls(spark, monkeypatch, most):
+    monkeypatch.setattr("tessella.llm.url_filter.MOST_RULES", most)
     rules = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/")]
     rows = [(1, "https://A.Example.COM/en/77?q#x"), (2, "http://example.com/en/6"), (3, "x://com/en/"), (4, None), (5, ""), (6, "example.com/en/"), (7, "http://xcom/en/"), (8, "http://a.net/de/#f"), (9, "http://a.net?/de/"), (10, "http://example.com/EN/"), (1, "http://.com/en/")]
     pages = table(spark, [(*r, "no", "no") for r in rows], "page_id long, url string, rule string, key string")

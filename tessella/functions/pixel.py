@@ -27,9 +27,9 @@ def clamp(v: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def f16(v: Column) -> Column:
-    """The nearest half-precision value, ties to even; finite values within its range."""
+    """The nearest half-precision value, ties to even; from 65520 on infinite, as is what was, and NaN stays."""
     ulp = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14)) - 10)
-    return F.when(v == 0, F.lit(0.0)).otherwise(F.rint(v / ulp) * ulp)
+    return F.when(v == 0, F.lit(0.0)).when(F.isnan(v), v).when(F.abs(v) >= 65520, F.signum(v) * F.lit(float("inf"))).otherwise(F.rint(v / ulp) * ulp)
 
 
 def cfa_site(pattern: Column, y: Column, x: Column) -> Column:

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import pixel as P
+from tessella.operators.pointwise import NodeError
 
 # Correlated colour temperature of the illuminant codes of raw files.
-ILLUMINANT_CCT = {17: 2856.0, 20: 5503.0, 21: 6504.0, 22: 7504.0, 23: 5003.0, 24: 3200.0}
+ILLUMINANT_CCT = {17: 2850.0, 20: 5500.0, 21: 6500.0, 22: 7500.0, 23: 5000.0, 24: 3200.0}
+
+
+def greyworld(rgba: DataFrame, strict: bool = True) -> DataFrame:
+    """``image_id, nr, ng, nb``: each image's neutral from its channel sums.
+
+    An image with a channel that has no light or no finite sum is an error (NEED_METADATA); with ``strict=False`` it has
+    no row, which drops its pixels where they are balanced by image.
+    """
+    return neutral_of(rgba.groupBy("image_id").agg(*[F.sum(c).alias(f"s{c}") for c in P.RGB]), strict)
 
 
-def greyworld(rgba: DataFrame) -> DataFrame:
-    """``image_id, nr, ng, nb``: each image's neutral from its channel sums. Images without light in a channel have none."""
-    sums = rgba.groupBy("image_id").agg(*[F.sum(c).alias(f"s{c}") for c in P.RGB])
-    ok = (F.col("sr") > 0) & (F.col("sg") > 0) & (F.col("sb") > 0)
-    return sums.where(ok).select("image_id", (F.col("sr") / F.col("sg")).alias("nr"), F.lit(1.0).alias("ng"), (F.col("sb") / F.col("sg")).alias("nb"))
+def neutral_of(sums: DataFrame, strict: bool = True) -> DataFrame:
+    """The neutrals of ``sums(image_id, sr, sg, sb)``."""
+    usable = F.lit(True)
+    for c in P.RGB:  # not a number is larger than all numbers here
+        usable = usable & (F.col(f"s{c}") > 0) & (F.col(f"s{c}") < float("inf"))
+    usable = F.coalesce(usable, F.lit(False))
+    if not strict:
+        sums = sums.where(usable)
+    checked = lambda v: F.when(usable, v).otherwise(F.raise_error(F.concat(F.lit("NEED_METADATA: no light in a channel of image "), F.col("image_id").cast("string"))).cast("double"))
+    return sums.select("image_id", checked(F.col("sr") / F.col("sg")).alias("nr"), F.lit(1.0).alias("ng"), checked(F.col("sb") / F.col("sg")).alias("nb"))
 
 
 def _locus(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,8 +46,8 @@ def _locus(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cct_weight(t: np.ndarray, t1: float, t2: float) -> np.ndarray:
-    """Share of the second illuminant at a temperature, in reciprocal temperature."""
-    return np.clip((1 / t - 1 / t1) / (1 / t2 - 1 / t1), 0, 1) if t1 != t2 else np.zeros_like(t)
+    """Share of the first illuminant at a temperature, in reciprocal temperature."""
+    return np.clip((1 / t - 1 / t2) / (1 / t1 - 1 / t2), 0, 1) if t1 != t2 else np.ones_like(t)
 
 
 def scene_cct(neutral: np.ndarray, cm1: np.ndarray, cm2: np.ndarray, t1: float, t2: float) -> float:
@@ -45,7 +62,7 @@ def scene_cct(neutral: np.ndarray, cm1: np.ndarray, cm2: np.ndarray, t1: float,
         w = cct_weight(t, t1, t2)[:, None, None]
         with np.errstate(all="ignore"):
             try:
-                xyz = np.linalg.solve(cm1 * (1 - w) + cm2 * w, np.broadcast_to(neutral[:, None], (len(t), 3, 1)))[:, :, 0]
+                xyz = np.linalg.solve(cm1 * w + cm2 * (1 - w), np.broadcast_to(neutral[:, None], (len(t), 3, 1)))[:, :, 0]
             except np.linalg.LinAlgError:
                 return float("nan")
             total = xyz.sum(1)
@@ -58,6 +75,48 @@ def scene_cct(neutral: np.ndarray, cm1: np.ndarray, cm2: np.ndarray, t1: float,
         low, high = max(low, 1e6 / t[k] - 2 * step), min(high, 1e6 / t[k] + 2 * step)
 
 
+def dual_illuminant(image: dict) -> dict:
+    """What the white balance tells of an image: ``scene_cct, dual_illuminant_weight, camera_diag, camera_to_xyz_d50``.
+
+    The matrix blends both forward matrices by the weight, or else is the inverse of the blended colour matrices.
+    """
+    matrices = {k: np.array(image.get(k) or [], float) for k in ("color_matrix1", "color_matrix2", "forward_matrix1", "forward_matrix2")}
+    neutral = np.array((image.get("neutral") or [])[:3], float)
+    if any(matrices[f"color_matrix{k}"].size != 9 for k in "12"):
+        raise NodeError("NEED_METADATA", "colour matrices")
+    if any(image.get(f"illuminant{k}") not in ILLUMINANT_CCT for k in "12"):
+        raise NodeError("NEED_METADATA", "calibration illuminants")
+    if len(neutral) != 3 or not (np.isfinite(neutral) & (neutral > 0)).all():
+        raise NodeError("NEED_METADATA", "neutral")
+    t1, t2 = (ILLUMINANT_CCT[image[f"illuminant{k}"]] for k in "12")
+    cm1, cm2 = (matrices[f"color_matrix{k}"].reshape(3, 3) for k in "12")
+    cct = scene_cct(neutral, cm1, cm2, t1, t2)
+    if not math.isfinite(cct):
+        raise NodeError("NEED_METADATA", "singular colour matrix")
+    weight = float(cct_weight(np.array(cct), t1, t2))
+    if all(matrices[f"forward_matrix{k}"].size == 9 for k in "12"):
+        to_xyz = weight * matrices["forward_matrix1"] + (1 - weight) * matrices["forward_matrix2"]
+    else:
+        blend = weight * cm1 + (1 - weight) * cm2
+        if abs(np.linalg.det(blend)) <= np.finfo(np.float32).eps:
+            raise NodeError("NEED_METADATA", "singular colour matrix")
+        to_xyz = np.linalg.inv(blend).ravel()
+    return {"scene_cct": cct, "dual_illuminant_weight": weight, "camera_diag": (1 / neutral).tolist(), "camera_to_xyz_d50": to_xyz.tolist()}
+
+
+def white_balance_metadata(images: DataFrame) -> DataFrame:
+    """``images`` (with the fields of a raw file) and the columns of ``dual_illuminant``: a search per image, never per pixel."""
+    fields = ["neutral", "color_matrix1", "color_matrix2", "forward_matrix1", "forward_matrix2", "illuminant1", "illuminant2"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [dual_illuminant({k: v if v is None or np.isscalar(v) else list(v) for k, v in r.items()}) for r in rows.to_dict("records")]
+        return pd.DataFrame(own, columns=["scene_cct", "dual_illuminant_weight", "camera_diag", "camera_to_xyz_d50"])
+
+    kind = "scene_cct double, dual_illuminant_weight double, camera_diag array<double>, camera_to_xyz_d50 array<double>"
+    found = F.pandas_udf(run, kind)
+    return images.withColumn("found", found(F.struct(*fields))).select(*images.columns, "found.*")
+
+
 def scene_temperature(neutrals: DataFrame, cm1: list[float], cm2: list[float], illuminants: tuple[int, int]) -> DataFrame:
     """``neutrals`` with ``cct`` and ``weight``: one small search per image, never per pixel."""
     a, b = np.array(cm1).reshape(3, 3), np.array(cm2).reshape(3, 3)

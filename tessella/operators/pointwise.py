@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,14 +158,22 @@ def fuse_reference(ref: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def lut3d(rgba: DataFrame, size: int, values: list[float] | Callable[[Column, Column, Column], list[Column]], interpolation: str = "tetrahedral") -> DataFrame:
-    """A 3D table with red slowest and blue fastest, as an array or as a function of the grid indices."""
+    """A 3D table with red slowest and blue fastest, as an array or as a function of the grid indices.
+
+    An array goes to the tasks once, as a broadcast of at most 256**3 rows, and is looked up there by batch.
+    """
     if interpolation not in ("tetrahedral", "trilinear"):
         raise NodeError("BAD_INDEX", interpolation)
-    if callable(values):
-        at = values
-    else:
-        flat = F.array(*[F.lit(float(v)) for v in values])
-        at = lambda r, g, b: [F.get(flat, (((r * size + g) * size + b) * 3 + c).cast("int")) for c in range(3)]
+    if not callable(values):
+        shared = rgba.sparkSession.sparkContext.broadcast(np.asarray(values, float).reshape(size, size, size, 3))
+
+        def looked_up(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(table_lookup(shared.value, np.stack([r, g, b]).astype(float), interpolation).T, columns=list(P.RGB))
+
+        found = F.pandas_udf(looked_up, "r double, g double, b double")
+        out = rgba.withColumn("_lut", found(*P.RGB))
+        return out.withColumns({c: F.col("_lut")[c] for c in P.RGB}).select(*rgba.columns)
+    at = values
     scaled = rgba.withColumns({f"_{c}": P.clamp(F.col(c)) * (size - 1) for c in P.RGB})
     scaled = scaled.withColumns({f"_{c}0": F.least(F.floor(F.col(f"_{c}")), F.lit(size - 2)) for c in P.RGB})
     scaled = scaled.withColumns({f"_d{c}": F.col(f"_{c}") - F.col(f"_{c}0") for c in P.RGB})
@@ -189,6 +199,29 @@ def lut3d(rgba: DataFrame, size: int, values: list[float] | Callable[[Column, Co
     return scaled.withColumns(out).select(*rgba.columns)
 
 
+def table_lookup(table: np.ndarray, v: np.ndarray, interpolation: str) -> np.ndarray:
+    """Values (3, ...) in [0, 1] through a table (size, size, size, 3)."""
+    size = len(table)
+    at = np.clip(v, 0, 1) * (size - 1)
+    low = np.minimum(np.floor(at).astype(int), size - 2)
+    d = at - low
+    corner = lambda i, j, k: np.moveaxis(table[low[0] + i, low[1] + j, low[2] + k], -1, 0)
+    if interpolation == "trilinear":
+        mix = lambda a, b, t: a + (b - a) * t
+        plane = {(j, k): mix(corner(0, j, k), corner(1, j, k), d[0]) for j in (0, 1) for k in (0, 1)}
+        return np.clip(mix(*(mix(plane[0, k], plane[1, k], d[1]) for k in (0, 1)), d[2]), 0, 1)
+    # From corner to corner along the axes, the one with the largest remainder first.
+    order = np.argsort(-d, axis=0, kind="stable")
+    on = np.zeros(d.shape, int)
+    out = before = corner(0, 0, 0)
+    for step in range(3):
+        np.put_along_axis(on, order[step][None], 1, 0)
+        after = corner(*on)
+        out = out + (after - before) * np.take_along_axis(d, order[step][None], 0)
+        before = after
+    return np.clip(out, 0, 1)
+
+
 def to_display(rgba: DataFrame, target: str = "sRGB") -> DataFrame:
     """Scene-linear Rec.2020 to 8-bit sRGB, or to 10-bit PQ in the high bits of 16."""
     if target in ("DisplayP3", "BT2020-HLG"):

@@ -1,29 +1,37 @@
 """Nodes that look at neighbours: NumPy kernels over tiles with a halo.
 
-``tiles(image_id, height, width, y0, x0, h, w, planes)``: a tile's channels are row-major arrays of
-doubles. An image in one tile needs no shuffle; otherwise tiles send the strips that their neighbours
-need, so a task sees one tile and its halo, whatever the image's size.
+``tiles(image_id, height, width, y0, x0, h, w, planes, meta)``: a tile's channels are row-major arrays of doubles, and
+``meta`` is what its image says about itself, as JSON (or null). An image in one tile needs no shuffle; otherwise tiles
+send the strips that their neighbours need, so a task sees one tile and its halo, whatever the image's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Kernel = Callable[[np.ndarray, int, int, int, int], np.ndarray]
+from tessella.operators.pointwise import NodeError
 
-TILES = "image_id long, height int, width int, y0 int, x0 int, h int, w int, planes array<array<double>>"
+#: Takes (channels, tiles, rows, columns), the place of the first row and column in the image, the image's height and width,
+#: and ``meta``; gives the same without the halo, or that and a new ``meta``.
+Kernel = Callable[..., np.ndarray | tuple[np.ndarray, str]]
+
+TILES = "image_id long, height int, width int, y0 int, x0 int, h int, w int, planes array<array<double>>, meta string"
 _KEY = ["image_id", "height", "width", "y0", "x0", "h", "w"]
+_SHAPE = [*_KEY[1:], "meta"]
 
 
-def image_tiles(images: DataFrame, planes: list[Column], height: int, width: int) -> DataFrame:
+def image_tiles(images: DataFrame, planes: list[Column], height: int, width: int, meta: Column | None = None) -> DataFrame:
     """One tile per row of ``images``, whose ``planes`` are row-major arrays."""
     n = {"height": height, "width": width, "y0": 0, "x0": 0, "h": height, "w": width}
-    return images.select(F.col("image_id").cast("long"), *[F.lit(v).alias(k) for k, v in n.items()], F.array(*[p.cast("array<double>") for p in planes]).alias("planes"))
+    said = (F.lit(None) if meta is None else meta).cast("string").alias("meta")
+    return images.select(F.col("image_id").cast("long"), *[F.lit(v).alias(k) for k, v in n.items()], F.array(*[p.cast("array<double>") for p in planes]).alias("planes"), said)
 
 
 def pixels(tiles: DataFrame, channels: tuple[str, ...]) -> DataFrame:
@@ -44,85 +52,160 @@ def cut_tiles(pixel: DataFrame, channels: tuple[str, ...], height: int, width: i
     tiles = rows.agg(F.array_sort(F.collect_list(F.struct("y", "x", *channels))).alias("p"))
     n = {"height": F.lit(height), "width": F.lit(width), "y0": F.col("ty") * size, "x0": F.col("tx") * size}
     n |= {"h": F.least(F.lit(size), height - F.col("ty") * size), "w": F.least(F.lit(size), width - F.col("tx") * size)}
-    return tiles.select("image_id", *[v.cast("int").alias(k) for k, v in n.items()], F.array(*[F.col(f"p.{c}") for c in channels]).alias("planes"))
+    return tiles.select("image_id", *[v.cast("int").alias(k) for k, v in n.items()], F.array(*[F.col(f"p.{c}") for c in channels]).alias("planes"), F.lit(None).cast("string").alias("meta"))
+
+
+def tile_rows(ids: np.ndarray, shape: dict, planes: np.ndarray) -> pa.RecordBatch:
+    """Tiles of one shape: ``planes`` is (channels, tiles, rows, columns)."""
+    channels, n = planes.shape[:2]
+    size = planes.shape[2] * planes.shape[3]
+    flat = np.ascontiguousarray(planes.swapaxes(0, 1), dtype=float).reshape(-1)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(n * channels + 1, dtype=np.int32) * size), pa.array(flat))
+    outer = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * channels), inner)
+    own = [pa.array(np.full(n, shape[k], np.int32)) for k in _KEY[1:]]
+    return pa.record_batch([pa.array(ids), *own, outer, pa.array([shape["meta"]] * n, pa.string())], names=[*_KEY, "planes", "meta"])
+
+
+def stacks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict, np.ndarray]]:
+    """Ids, shape and planes of the batch's tiles, those of one shape and ``meta`` together."""
+    if not batch.num_rows:
+        return
+    planes = batch.column(batch.schema.get_field_index("planes"))
+    flat = planes.flatten().flatten().to_numpy(zero_copy_only=False)
+    keys = batch.select(_SHAPE).to_pandas()
+    size = (keys["h"] * keys["w"] * pc.list_value_length(planes).to_numpy(zero_copy_only=False)).to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    ids = batch.column(batch.schema.get_field_index("image_id")).to_numpy(zero_copy_only=False)
+    for _, part in keys.groupby(_SHAPE, sort=False, dropna=False):
+        at = part.index.to_numpy()
+        shape = dict(zip(_SHAPE, (None if v is None or v != v else v for v in part.iloc[0]), strict=True))
+        for most in np.split(at, np.arange(4096, len(at), 4096)):
+            for channels in np.unique(size[most] // (shape["h"] * shape["w"])):
+                own = most[size[most] == channels * shape["h"] * shape["w"]]
+                whole = flat[start[own[0]] : start[own[0]] + size[own].sum()] if (np.diff(own) == 1).all() else np.concatenate([flat[start[k] : start[k] + size[k]] for k in own])
+                yield ids[own], shape, whole.reshape(len(own), channels, shape["h"], shape["w"]).swapaxes(0, 1)
+
+
+def _applied(kernel: Kernel, padded: np.ndarray, y: int, x: int, shape: dict) -> tuple[np.ndarray, dict]:
+    out = kernel(padded, y, x, shape["height"], shape["width"], shape["meta"])
+    return (out[0], shape | {"meta": out[1]}) if isinstance(out, tuple) else (out, shape)
+
+
+def stencil(tiles: DataFrame, kernel: Kernel, radius: int, split: int = 0) -> DataFrame:
+    """``kernel(padded, y, x, height, width, meta)`` of all tiles, padded by ``radius`` with the image's edge repeated.
+
+    ``y, x`` is the place of the padded arrays' first element, which may be negative. Tiles of one shape and ``meta``
+    come together; the kernel returns planes without padding. ``split`` is the size of tiles where images may have
+    several, at least ``radius``: each tile then sends its eight neighbours what they need of it, one shuffle in all.
+    """
+
+    def whole(batches):
+        for batch in batches:
+            for ids, shape, planes in stacks(batch):
+                padded = np.pad(planes, ((0, 0), (0, 0), (radius,) * 2, (radius,) * 2), "edge") if radius else planes
+                out, own = _applied(kernel, padded, shape["y0"] - radius, shape["x0"] - radius, shape)
+                yield tile_rows(ids, own, out)
 
+    if not split or not radius:
+        return tiles.mapInArrow(whole, TILES)
+    if radius > split:
+        raise NodeError("BAD_INDEX", f"tiles of {split} are smaller than the halo of {radius}")
 
-def _planes(row) -> np.ndarray:
-    return np.stack([np.asarray(p, float) for p in row.planes]).reshape(-1, row.h, row.w)
+    def padded(row, canvas: np.ndarray, y: int, x: int):
+        """The canvas holds what lies inside the image; outside of it the edge is repeated."""
+        ys, xs = (np.clip(np.arange(a, b), 0, n - 1) - c for a, b, n, c in ((row.y0 - radius, row.y0 + row.h + radius, row.height, y), (row.x0 - radius, row.x0 + row.w + radius, row.width, x)))
+        return kernel(canvas[:, None, ys][..., xs], row.y0 - radius, row.x0 - radius, row.height, row.width, row.meta)
 
+    def near(row):
+        for y0 in (row.y0 - split, row.y0, row.y0 + split):
+            for x0 in (row.x0 - split, row.x0, row.x0 + split):
+                if 0 <= y0 < row.height and 0 <= x0 < row.width:
+                    h, w = min(split, row.height - y0), min(split, row.width - x0)
+                    yield y0, x0, h, w, max(0, y0 - radius), max(0, x0 - radius), min(row.height, y0 + h + radius), min(row.width, x0 + w + radius)
 
-def _out(row, planes: np.ndarray) -> dict:
-    return {k: getattr(row, k) for k in _KEY} | {"planes": [p.ravel() for p in planes]}
+    return _assembled(tiles, near, padded)
 
 
-def stencil(tiles: DataFrame, kernel: Kernel, radius: int, split: bool = False) -> DataFrame:
-    """``kernel(padded, y, x, height, width)`` of every tile, padded by ``radius`` with the image's edge repeated.
+def gather(tiles: DataFrame, images: DataFrame, split: int, reach: Callable, kernel: Callable) -> DataFrame:
+    """Tiles made from any part of their image: ``kernel(row, canvas, y, x)`` for each tile.
 
-    ``y, x`` is the place of the padded array's first element, which may be negative. The kernel returns
-    planes of the tile without padding. ``split`` says that images have several tiles, all of which must
-    be larger than ``radius``.
+    ``reach(row)`` is the part (top, left, bottom, right) that a tile needs, cut to the image here; it is worked out from
+    ``images(image_id, height, width, meta)`` and the tiles' size alone. A tile's part is asked of the tiles it lies in.
     """
+    grid = images.select("image_id", "height", "width", "meta")
+    for side, at in (("height", "y0"), ("width", "x0")):
+        grid = grid.withColumn(at, F.explode(F.sequence(F.lit(0), F.col(side) - 1, F.lit(split))))
+    grid = grid.withColumns({"h": F.least(F.lit(split), F.col("height") - F.col("y0")), "w": F.least(F.lit(split), F.col("width") - F.col("x0"))})
 
-    def whole(parts):
+    def asks(parts):
         for pdf in parts:
-            yield pd.DataFrame([_out(r, kernel(np.pad(_planes(r), ((0, 0), (radius,) * 2, (radius,) * 2), "edge"), r.y0 - radius, r.x0 - radius, r.height, r.width)) for r in pdf.itertuples()], columns=[*_KEY, "planes"])
+            rows = []
+            for r in pdf.itertuples():
+                top, left, bottom, right = reach(r)
+                top, left, bottom, right = max(0, min(top, r.height - 1)), max(0, min(left, r.width - 1)), min(r.height, max(bottom, 1)), min(r.width, max(right, 1))
+                for a in range(top // split, (bottom - 1) // split + 1):
+                    for b in range(left // split, (right - 1) // split + 1):
+                        rows.append((r.image_id, a * split, b * split, [r.y0, r.x0, r.h, r.w, top, left, bottom, right]))
+            yield pd.DataFrame(rows, columns=["image_id", "y0", "x0", "ask"])
+
+    wanted = grid.mapInPandas(asks, "image_id long, y0 int, x0 int, ask array<int>")
+    return _assembled(tiles.join(wanted, ["image_id", "y0", "x0"]).select(*_KEY, "planes", "meta", "ask"), lambda row: [tuple(row.ask)], kernel)
 
-    if not split:
-        return tiles.mapInPandas(whole, TILES)
 
-    def strips(parts):
+def _assembled(tiles: DataFrame, targets: Callable, kernel: Callable) -> DataFrame:
+    """The pieces that tiles send to ``targets(row)`` (place, size and part of each), put together and given to ``kernel``."""
+
+    def pieces(parts):
+        names = [*_KEY, "top", "left", "bottom", "right", "py", "px", "ph", "pw", "part", "meta"]
         for pdf in parts:
             rows = []
             for r in pdf.itertuples():
-                data, bottom, right = _planes(r), r.y0 + r.h, r.x0 + r.w
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        ya, yb = ((0, r.h), (r.h - radius, r.h), (0, radius))[dy]
-                        xa, xb = ((0, r.w), (r.w - radius, r.w), (0, radius))[dx]
-                        to_y, to_x = (r.y0, bottom, r.y0 - 1)[dy], (r.x0, right, r.x0 - 1)[dx]
-                        if 0 <= to_y < r.height and 0 <= to_x < r.width:
-                            rows.append({"image_id": r.image_id, "height": r.height, "width": r.width, "y0": r.y0 + ya, "x0": r.x0 + xa, "h": yb - ya, "w": xb - xa, "planes": [p.ravel() for p in data[:, ya:yb, xa:xb]], "to_y": to_y, "to_x": to_x, "own": dy == dx == 0})
-            yield pd.DataFrame(rows, columns=[*_KEY, "planes", "to_y", "to_x", "own"])
-
-    def assemble(strip: list) -> dict:
-        own = next(r for r in strip if r.own)
-        canvas = np.zeros((len(own.planes), own.h + 2 * radius, own.w + 2 * radius))
-        y, x = own.y0 - radius, own.x0 - radius
+                planes = np.stack([np.asarray(p, float) for p in r.planes]).reshape(-1, r.h, r.w)
+                for y0, x0, h, w, top, left, bottom, right in targets(r):
+                    a, b, c, d = max(top, r.y0), min(bottom, r.y0 + r.h), max(left, r.x0), min(right, r.x0 + r.w)
+                    own = y0 == r.y0 and x0 == r.x0  # also where nothing of it is needed: it tells what the image says
+                    if a < b and c < d or own:
+                        part = planes[:, a - r.y0 : max(a, b) - r.y0, c - r.x0 : max(c, d) - r.x0]
+                        rows.append((r.image_id, r.height, r.width, y0, x0, h, w, top, left, bottom, right, a, c, max(0, b - a), max(0, d - c), [p.ravel() for p in part], r.meta if own else None))
+            yield pd.DataFrame(rows, columns=names)
+
+    kind = "image_id long, height int, width int, y0 int, x0 int, h int, w int, top int, left int, bottom int, right int, py int, px int, ph int, pw int, part array<array<double>>, meta string"
+    keys = ["image_id", "y0", "x0"]
+    rows = tiles.mapInPandas(pieces, kind).repartition(*keys).sortWithinPartitions(*keys)
+
+    def assemble(strip: list) -> pa.RecordBatch:
+        own = strip[0]
+        canvas = np.zeros((len(own.part), own.bottom - own.top, own.right - own.left))
+        meta = next((r.meta for r in strip if isinstance(r.meta, str)), None)
         for r in strip:
-            canvas[:, r.y0 - y : r.y0 - y + r.h, r.x0 - x : r.x0 - x + r.w] = _planes(r)
-        ys = np.clip(np.arange(canvas.shape[1]) + y, 0, own.height - 1) - y
-        xs = np.clip(np.arange(canvas.shape[2]) + x, 0, own.width - 1) - x
-        return _out(own, kernel(canvas[:, ys][:, :, xs], y, x, own.height, own.width))
-
-    def joined(parts):
-        """Tiles of one sorted partition; a tile's strips (nine at most) may reach from one batch into the next."""
+            if r.ph and r.pw:
+                canvas[:, r.py - own.top : r.py - own.top + r.ph, r.px - own.left : r.px - own.left + r.pw] = np.stack(list(r.part)).reshape(-1, r.ph, r.pw)
+        out = kernel(own._replace(meta=meta), canvas, own.top, own.left)
+        out, meta = out if isinstance(out, tuple) else (out, meta)
+        return tile_rows(np.array([own.image_id]), {k: getattr(own, k) for k in _KEY[1:]} | {"meta": meta}, out)
+
+    def joined(batches):
+        """Tiles of one sorted partition; a tile's pieces may reach from one batch into the next."""
         waiting: list = []
-        for pdf in parts:
-            done = []
-            for r in pdf.itertuples():
-                if waiting and (r.image_id, r.ty, r.tx) != (waiting[0].image_id, waiting[0].ty, waiting[0].tx):
-                    done.append(assemble(waiting))
+        for batch in batches:
+            for r in batch.to_pandas().itertuples(index=False):
+                if waiting and (r.image_id, r.y0, r.x0) != (waiting[0].image_id, waiting[0].y0, waiting[0].x0):
+                    yield assemble(waiting)
                     waiting = []
                 waiting.append(r)
-            yield pd.DataFrame(done, columns=[*_KEY, "planes"])
         if waiting:
-            yield pd.DataFrame([assemble(waiting)], columns=[*_KEY, "planes"])
+            yield assemble(waiting)
 
-    sent = tiles.mapInPandas(strips, f"{TILES}, to_y int, to_x int, own boolean")
-    # All strips for a tile name a pixel of it; the grid's step is the largest tile's.
-    step = tiles.groupBy("image_id").agg(F.max("h").alias("sh"), F.max("w").alias("sw"))
-    sent = sent.join(step, "image_id").withColumns({"ty": F.floor(F.col("to_y") / F.col("sh")), "tx": F.floor(F.col("to_x") / F.col("sw"))})
-    keys = ["image_id", "ty", "tx"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(joined, TILES)
+    return rows.mapInArrow(joined, TILES)
 
 
 def _shift(a: np.ndarray, dy: int, dx: int, r: int) -> np.ndarray:
     """The neighbour at (dy, dx) of each place that is at least ``r`` away from the border."""
-    return a[r + dy : a.shape[0] - r + dy, r + dx : a.shape[1] - r + dx]
+    return a[..., r + dy : a.shape[-2] - r + dy, r + dx : a.shape[-1] - r + dx]
 
 
 def _sites(shape: tuple[int, int], y: int, x: int, cfa: list[int]) -> np.ndarray:
-    ys, xs = np.arange(shape[0]) + y, np.arange(shape[1]) + x
+    ys, xs = np.arange(shape[-2]) + y, np.arange(shape[-1]) + x
     return np.asarray(cfa)[(ys[:, None] & 1) * 2 + (xs[None, :] & 1)]
 
 
@@ -191,17 +274,17 @@ def demosaic_amaze(cfa: list[int]) -> Kernel:
     return run
 
 
-def remosaic(p, y, x, height, width):
+def remosaic(p, y, x, height, width, *_):
     """Quad-Bayer codes to a 2x2 Bayer array: a weighted integer mean of sites of the wanted colour."""
     m = np.rint(p[0]).astype(np.int64)
-    n, k = m.shape[0] - 6, m.shape[1] - 6
+    n, k = m.shape[-2] - 6, m.shape[-1] - 6
     ys, xs = np.arange(n) + y + 3, np.arange(k) + x + 3
     target = np.where((ys[:, None] & 1) + (xs[None, :] & 1) == 1, 1, (ys[:, None] & 1) * 2)
-    total, weights = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+    total, weights = (np.zeros((*m.shape[:-2], n, k), np.int64) for _ in range(2))
     for dy in range(-2, 3):
         for dx in range(-2, 3):
             sy, sx = np.clip(ys + dy, 0, height - 1), np.clip(xs + dx, 0, width - 1)
-            at = lambda a, b: m[np.clip(sy + a, 0, height - 1) - y][:, np.clip(sx + b, 0, width - 1) - x]  # noqa: B023, E731
+            at = lambda a, b: m[..., np.clip(sy + a, 0, height - 1) - y, :][..., np.clip(sx + b, 0, width - 1) - x]  # noqa: B023, E731
             quad = (sy % 4 >= 2).astype(int)[:, None] + (sx % 4 >= 2).astype(int)[None, :]
             w = np.maximum(1, 65536 // (64 + abs(at(0, -1) - at(0, 1)) + abs(at(-1, 0) - at(1, 0)) + 16 * (abs(dy) + abs(dx))))
             w = np.where(quad == target, w, 0)
@@ -223,7 +306,7 @@ def guided_filter(radius: int = 1, eps: float = 0.015) -> tuple[Kernel, int]:
         mean = _box(p, r)
         var = np.maximum(0, _box(p * p, r) - mean * mean)
         a = var / (var + eps)
-        own = p[:, 2 * r : -2 * r, 2 * r : -2 * r]
+        own = p[..., 2 * r : -2 * r, 2 * r : -2 * r]
         out = np.maximum(0, _box(a, r) * own + _box(mean - a * mean, r))
         out[3:] = own[3:]
         return out
@@ -236,7 +319,7 @@ def edge_aware_usm(strength: float = 0.75, radius: int = 1, threshold: float = 0
     r = 1 if radius <= 1 else 2
 
     def run(p, *_):
-        own = p[:, r:-r, r:-r]
+        own = p[..., r:-r, r:-r]
         detail = own - _box(p, r)
         out = np.maximum(0, np.where(abs(detail) >= threshold, own + strength * detail, own))
         out[3:] = own[3:]
@@ -267,8 +350,8 @@ def wavelet_shrink(chroma_strength: float = 1.0) -> Kernel:
     def run(p, y, x, *_):
         r, g, b = p[:3]
         co, cg = shrunk(r - b, y, x), shrunk(g - (r + b) / 2, y, x)
-        t = ((r + 2 * g + b) / 4)[1:-1, 1:-1] - cg / 2
-        return np.maximum(0, np.stack([t + co / 2, t + cg, t - co / 2, p[3, 1:-1, 1:-1]]))
+        t = ((r + 2 * g + b) / 4)[..., 1:-1, 1:-1] - cg / 2
+        return np.maximum(0, np.stack([t + co / 2, t + cg, t - co / 2, p[3, ..., 1:-1, 1:-1]]))
 
     return run
 
@@ -288,7 +371,7 @@ def block_denoise(sigma: float = 0.03) -> Kernel:
 
     def run(p, y, x, *_):
         p00, p01, p10, p11, *_ = _blocks(p, y, x)
-        own = p[:, 1:-1, 1:-1]
+        own = p[..., 1:-1, 1:-1]
         out = np.maximum(0, own + ((p00 + p01 + p10 + p11) / 4 - own) * strength)
         out[3:] = own[3:]
         return out
@@ -300,49 +383,89 @@ def _cubic(p, t):
     return p[1] + t * ((p[2] - p[0]) / 2 + t * (p[0] - 2.5 * p[1] + 2 * p[2] - p[3] / 2 + t * (1.5 * (p[1] - p[2]) + (p[3] - p[0]) / 2)))
 
 
-def warp_rectilinear(coefficients: list[tuple[float, ...]], cx: float = 0.5, cy: float = 0.5) -> Kernel:
-    """Radial (kr0..kr3) and tangential (kt0, kt1) correction with bicubic taps. It needs the whole image as one tile."""
+class Warp:
+    """Radial (kr0..kr3) and tangential (kt0, kt1) correction with bicubic taps: where each pixel comes from.
 
-    def run(p, y, x, height, width):
-        if not coefficients or height <= 1 or width <= 1:
-            return p
-        x0, y0 = cx * (width - 1), cy * (height - 1)
+    It samples anywhere, so an image of several tiles goes through ``gather``.
+    """
+
+    def __init__(self, coefficients: list[tuple[float, ...]], cx: float = 0.5, cy: float = 0.5) -> None:
+        self.coefficients, self.cx, self.cy = coefficients, cx, cy
+
+    def source(self, c: int, ys: np.ndarray, xs: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns that channel ``c`` of the pixels ``ys`` x ``xs`` is sampled at."""
+        x0, y0 = self.cx * (width - 1), self.cy * (height - 1)
         m = max((a - x0) ** 2 + (b - y0) ** 2 for a in (0, width - 1) for b in (0, height - 1)) ** 0.5
-        dy, dx = np.meshgrid((np.arange(height) - y0) / m, (np.arange(width) - x0) / m, indexing="ij")
-        r2, out = dx * dx + dy * dy, []
-        for c, plane in enumerate(p):
-            k = coefficients[min(c, len(coefficients) - 1)]
-            f = k[0] + r2 * (k[1] + r2 * (k[2] + r2 * k[3]))
-            sx = np.clip(x0 + m * (f * dx + 2 * k[4] * dx * dy + k[5] * (r2 + 2 * dx * dx)), 0, width - 1)
-            sy = np.clip(y0 + m * (f * dy + k[4] * (r2 + 2 * dy * dy) + 2 * k[5] * dx * dy), 0, height - 1)
+        dy, dx = np.meshgrid((ys - y0) / m, (xs - x0) / m, indexing="ij")
+        r2 = dx * dx + dy * dy
+        k = self.coefficients[min(c, len(self.coefficients) - 1)]
+        f = k[0] + r2 * (k[1] + r2 * (k[2] + r2 * k[3]))
+        sx = np.clip(x0 + m * (f * dx + 2 * k[4] * dx * dy + k[5] * (r2 + 2 * dx * dx)), 0, width - 1)
+        return np.clip(y0 + m * (f * dy + k[4] * (r2 + 2 * dy * dy) + 2 * k[5] * dx * dy), 0, height - 1), sx
+
+    def sampled(self, canvas: np.ndarray, y: int, x: int, ys: np.ndarray, xs: np.ndarray, height: int, width: int) -> np.ndarray:
+        """The pixels from a canvas (channels, ..., rows, columns) whose first element is at ``y, x`` of the image."""
+        if not self.coefficients or height <= 1 or width <= 1:
+            return canvas[..., ys - y, :][..., xs - x]
+        out = []
+        for c, plane in enumerate(canvas):
+            sy, sx = self.source(c, ys, xs, height, width)
             ix, iy = np.floor(sx).astype(int), np.floor(sy).astype(int)
-            tap = lambda a, b: plane[np.clip(iy + a, 0, height - 1), np.clip(ix + b, 0, width - 1)]  # noqa: B023, E731
+            tap = lambda a, b: plane[..., np.clip(iy + a, 0, height - 1) - y, np.clip(ix + b, 0, width - 1) - x]  # noqa: B023, E731
             rows = [_cubic([tap(a, b) for b in range(-1, 3)], sx - ix) for a in range(-1, 3)]
             out.append(_cubic(rows, sy - iy))
         return np.stack(out)
 
+    def reach(self, row) -> tuple[int, int, int, int]:
+        """The part of the image that a tile's samples and their taps lie in."""
+        ys, xs = np.arange(row.y0, row.y0 + row.h), np.arange(row.x0, row.x0 + row.w)
+        if not self.coefficients or row.height <= 1 or row.width <= 1:
+            return row.y0, row.x0, row.y0 + row.h, row.x0 + row.w
+        sy, sx = (np.stack(v) for v in zip(*[self.source(c, ys, xs, row.height, row.width) for c in range(max(1, len(self.coefficients)))], strict=True))
+        return int(sy.min()) - 1, int(sx.min()) - 1, int(sy.max()) + 3, int(sx.max()) + 3
+
+
+def warp_rectilinear(coefficients: list[tuple[float, ...]], cx: float = 0.5, cy: float = 0.5) -> Kernel:
+    """``Warp`` as a kernel without halo, for images of one tile; on a part of an image it is an error."""
+    warp = Warp(coefficients, cx, cy)
+
+    def run(p, y, x, height, width, *_):
+        if p.shape[-2:] != (height, width):
+            raise NodeError("BAD_INDEX", "an image of several tiles is warped by gather")
+        return warp.sampled(p, y, x, np.arange(height), np.arange(width), height, width)
+
     return run
 
 
+def warp_tiles(tiles: DataFrame, images: DataFrame, split: int, coefficients: list[tuple[float, ...]], cx: float = 0.5, cy: float = 0.5) -> DataFrame:
+    """``Warp`` of ``images(image_id, height, width, meta)`` in tiles of ``split``."""
+    warp = Warp(coefficients, cx, cy)
+
+    def run(row, canvas, y, x):
+        return warp.sampled(canvas[:, None], y, x, np.arange(row.y0, row.y0 + row.h), np.arange(row.x0, row.x0 + row.w), row.height, row.width)
+
+    return gather(tiles, images, split, warp.reach, run)
+
+
 def bad_pixels(points: list[tuple[int, int]] = (), rects: list[tuple[int, int, int, int]] = (), constant: float | None = None) -> Kernel:
     """Listed pixels (row, column), pixels inside half-open rectangles (top, left, bottom, right), and those within 1e-4
     of a constant in any colour get the mean of their neighbours inside the image; alpha stays. Halo 1."""
 
-    def run(p, y, x, height, width):
-        ys, xs = np.arange(p.shape[1]) + y, np.arange(p.shape[2]) + x
+    def run(p, y, x, height, width, *_):
+        ys, xs = np.arange(p.shape[-2]) + y, np.arange(p.shape[-1]) + x
         valid = ((ys >= 0) & (ys < height))[:, None] & ((xs >= 0) & (xs < width))[None, :]
         near = [(-1, 0), (1, 0), (0, -1), (0, 1)]
         count = sum(_shift(valid, a, b, 1).astype(int) for a, b in near)
-        own = p[:, 1:-1, 1:-1]
+        own = p[..., 1:-1, 1:-1]
         mean = np.stack([sum(_shift(np.where(valid, c, 0), a, b, 1) for a, b in near) for c in p]) / np.maximum(count, 1)
-        bad = np.zeros(own.shape[1:], bool)
+        bad = np.zeros(own.shape[-2:], bool)
         gy, gx = ys[1:-1], xs[1:-1]
         for a, b in points:
             bad |= (gy == a)[:, None] & (gx == b)[None, :]
         for top, left, bottom, right in rects:
             bad |= ((gy >= top) & (gy < bottom))[:, None] & ((gx >= left) & (gx < right))[None, :]
         if constant is not None:
-            bad |= (abs(own[:3] - constant) <= 1e-4).any(0)
+            bad = bad | (abs(own[:3] - constant) <= 1e-4).any(0)
         out = np.where(bad & (count > 0), mean, own)
         out[3:] = own[3:]
         return out

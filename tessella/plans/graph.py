@@ -37,6 +37,7 @@ def _scene(needs: str, sets: str, **params: Any) -> Manifest:
     return Manifest(_F16, _F16, (needs,) if needs else (), (sets,), _SCENE, _SCENE, params)
 
 
+# What each node type declares.
 NODES = {
     "builtin.passthrough": Manifest(("rgba.u8",), ("rgba.u8",)),
     "builtin.dng_input": Manifest((), ("r.u16",), role_in="none", role_out=_RAW, params={"path": str}),
@@ -65,6 +66,9 @@ NODES = {
     "output.heif_hdr_pq": Manifest(("rgba.u16",), (), ("color.scene_linear_to_display",), (), "output_pq_rec2020", "any", {"path": str}),
 }
 
+#: Ports of the nodes that take several inputs, in the order of their functions.
+PORTS = {"tone.mertens_local": ("under", "normal", "over"), "fusion.hdr_plus_derivative": ("ref", "frame")}
+
 
 @dataclass
 class Plan:
@@ -75,6 +79,8 @@ class Plan:
     converts: list[tuple[str, str, str]]
     slots: dict[str, int]
     peak_bytes: int
+    #: From, to and the port of every edge, those of the graph's own inputs too.
+    inputs: list[tuple[str, str, str]] = field(default_factory=list)
 
 
 def toposort(nodes: list[str], edges: list[tuple[str, str]]) -> list[str]:
@@ -129,11 +135,12 @@ def load(text: str, cap_bytes: int | None = None) -> Plan:
         check_params(kind, n.get("params", {}))
         nodes[n["id"]] = {"type": kind, "params": n.get("params", {})}
     sources = set(doc.get("inputs", {})) if isinstance(doc.get("inputs"), dict) else {i["port"] for i in doc.get("inputs", [])}
-    edges = []
+    edges, inputs = [], []
     for e in doc["edges"]:
         a, b = e["from"].split(".")[0], e["to"].split(".")[0]
         if b not in nodes or a not in nodes and a not in sources | {"inputs"}:
             raise NodeError("BAD_INDEX", f"edge {e['from']} to {e['to']}")
+        inputs.append((a, b, e["to"].partition(".")[2]))
         if a in nodes:
             edges.append((a, b))
     order = toposort(list(nodes), edges)
@@ -166,13 +173,49 @@ def load(text: str, cap_bytes: int | None = None) -> Plan:
     peak += pixels * PIXEL_BYTES["r.u16"]
     if cap_bytes is not None and peak > cap_bytes:
         raise NodeError("OUT_OF_MEMORY", f"{peak} bytes")
-    return Plan(order, nodes, edges, steps, converts, slots, peak)
+    return Plan(order, nodes, edges, steps, converts, slots, peak, inputs)
+
+
+def migrate(text: str) -> str:
+    """A graph of version 0.3 as one of 0.4; only the version and the schema's name change."""
+    doc = json.loads(text)
+    if doc.get("version") != "0.3":
+        raise NodeError("FAILED", "not a graph of version 0.3")
+    doc["version"] = "0.4"
+    if isinstance(doc.get("$schema"), str):
+        doc["$schema"] = doc["$schema"].replace("v0.3", "v0.4")
+    return json.dumps(doc)
+
+
+def kinds() -> list[str]:
+    """All node types, sorted by name."""
+    return sorted(NODES)
+
 
+def fold(plan: Plan, source: Any, run: dict[str, Callable[..., Any]], convert: Callable[[Any, str], Any] | None = None) -> Any:
+    """What the last node makes of ``source``.
 
-def fold(plan: Plan, source: DataFrame, run: dict[str, Callable[..., DataFrame]]) -> DataFrame:
-    """The last node's DataFrame. ``run`` has a function of (inputs..., params) for each node type; edges are honoured."""
-    made: dict[str, DataFrame] = {}
+    ``run`` has a function of (inputs..., params) for each node type, with inputs in the order of the type's ports;
+    ``convert`` puts the plan's conversions in. Edges are honoured: a node that feeds several others feeds each the same.
+    An input port that no edge reaches is an error, as is a node type without a function.
+    """
+    made: dict[str, Any] = {}
     for n in plan.order:
-        before = [made[a] for a, b in plan.edges if b == n] or [source]
-        made[n] = run[plan.nodes[n]["type"]](*before, plan.nodes[n]["params"])
+        kind = plan.nodes[n]["type"]
+        if kind not in run:
+            raise NodeError("NOT_IMPLEMENTED", kind)
+        ports = PORTS.get(kind, ("in",))
+        by_port = {port if len(ports) > 1 else ports[0]: a for a, b, port in plan.inputs if b == n}
+        if len(ports) > 1 and set(by_port) != set(ports):
+            raise NodeError("BAD_INDEX", f"{n} has inputs {sorted(by_port)}, not {sorted(ports)}")
+        before = [(by_port[p], made[by_port[p]] if by_port[p] in made else source) for p in ports if p in by_port] or [("", source)]
+        wanted = {a: target for a, b, target in plan.converts if b == n}
+        ready = []
+        for a, value in before:
+            if a in wanted:
+                if convert is None:
+                    raise NodeError("NOT_IMPLEMENTED", f"conversion to {wanted[a]}")
+                value = convert(value, wanted[a])
+            ready.append(value)
+        made[n] = run[kind](*ready, plan.nodes[n]["params"])
     return made[plan.order[-1]]

@@ -7,21 +7,27 @@ blue; ``events`` drive the event operators. Results are rounded to six places on
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import pixel as P
+from tessella.functions import blobs as B
 from tessella.operators import measure as M
+from tessella.operators import nodes as D
 from tessella.operators import pointwise as N
 from tessella.operators import stencil as S
 from tessella.plans import graph as G
-from tessella.sources import rasters
+from tessella.sources import dng, rasters
 from tessella.streaming import events as E
 
 CFA = [0, 1, 1, 2]
 SIDE, TOP = rasters.SIDE, rasters.TOP
+#: What graphs run on: codes of 8 bits, a table that makes them 14, and the calibration of the images.
+LINEAR = [k * 64 + (k * k) % 61 for k in range(256)]
 TABLE = [k * 1024 + (k * k) % 97 for k in range(17)]
 BLACK, WHITE = [512.0, 600.0, 700.0], 15000.0
 CAMERA = (0.5, 0.1, 0.05, 0.2, 0.7, 0.1, 0.02, 0.1, 0.9)
@@ -30,6 +36,8 @@ MAPS4 = {k: {"points": (2, 2), "spacing": (7.0, 7.0), "origin": (0.0, 0.0), "gai
 FILMIC = {"ev": 0.5, "contrast": 1.2, "saturation": 1.1, "highlights": 1.3, "shadows": 0.8}
 WARP = [(1.0, 0.02, -0.01, 0.003, 0.001, -0.002), (0.99, 0.03, 0.0, 0.0, 0.0, 0.001), (1.01, -0.02, 0.01, 0.0, 0.002, 0.0)]
 MATRIX1, MATRIX2 = [1.2, 0, 0, 0, 1, 0, 0, 0, 0.8], [0.9, 0, 0, 0, 1, 0, 0, 0, 1.1]
+CALIBRATION = {"cfa_repeat": [2, 2], "cfa_pattern": CFA, "black": [*BLACK, 0.0], "white": WHITE, "linearization": LINEAR, "neutral": list(NEUTRAL), "illuminant1": 17, "illuminant2": 21}
+CALIBRATION |= {"color_matrix1": [float(v) for v in MATRIX1], "color_matrix2": [float(v) for v in MATRIX2], "forward_matrix1": list(CAMERA), "forward_matrix2": list(CAMERA)}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -213,7 +221,7 @@ for _kind, _kernel, _radius in (("bilinear", S.demosaic_bilinear, 1), ("rcd", S.
 def demosaic_rcd_tiled(spark, d):
     """The same image in tiles of 4x4 that exchange halos."""
     tiles = S.cut_tiles(mosaic(spark, d).withColumn("v", F.col("v") / TOP), ("v",), SIDE, SIDE, 4)
-    return out(S.pixels(S.stencil(tiles, S.demosaic_rcd(CFA), 3, split=True), (*P.RGB, "a")), *P.RGB)
+    return out(S.pixels(S.stencil(tiles, S.demosaic_rcd(CFA), 3, split=4), (*P.RGB, "a")), *P.RGB)
 
 
 # Lens opcodes.
@@ -280,6 +288,19 @@ def warp_rectilinear(spark, d):
     return out(S.pixels(S.stencil(rgba_tiles(spark, d), S.warp_rectilinear(WARP), 0), (*P.RGB, "a")), *P.RGB)
 
 
+@query(_warp())
+def warp_rectilinear_tiled(spark, d):
+    """The same image in tiles of 4x4, each of which gathers the part that it samples."""
+    px = rgba(spark, d)
+    tiles = S.cut_tiles(px, (*P.RGB, "a"), SIDE, SIDE, 4)
+    images = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(None).cast("string").alias("meta"))
+    return out(S.pixels(S.warp_tiles(tiles, images, 4, WARP), (*P.RGB, "a")), *P.RGB)
+
+
+def _table(spark: SparkSession) -> list[float]:
+    return [v for r in range(17) for g in range(17) for b in range(17) for v in (r / 16 * (r / 16) * 0.8 + g / 16 * 0.2, g / 16 * (g / 16) * 0.7 + b / 16 * 0.3, b / 16 * (b / 16) * 0.9 + r / 16 * (g / 16) * 0.1)]
+
+
 # White balance and colour.
 
 
@@ -444,7 +465,7 @@ def _grid(r: Column, g: Column, b: Column) -> list[Column]:
     return [r * r * 0.8 + g * 0.2, g * g * 0.7 + b * 0.3, b * b * 0.9 + r * g * 0.1]
 
 
-def _lut(kind: str) -> str:
+def _lut_steps(kind: str) -> tuple[str, dict[str, str]]:
     base = ", ".join(f"{_clamp(c)} * 16 AS s{c}" for c in "rgb")
     low = ", ".join(f"least(floor(s{c}), 15) AS f{c}" for c in "rgb")
     delta = ", ".join(f"s{c} - f{c} AS d{c}" for c in "rgb")
@@ -468,7 +489,12 @@ def _lut(kind: str) -> str:
                 path.append(f"({at(*on, n)} - {before}) * d{axis}")
             cases.append(f"WHEN d{order[0]} >= d{order[1]} AND d{order[1]} >= d{order[2]} THEN {_add(*path)}")
         value[c] = _clamp(f"CASE {' '.join(cases)} END")
-    return f"{_rgba(1.3)}, l0 AS (SELECT *, {base} FROM rgba), l1 AS (SELECT *, {low} FROM l0), l2 AS (SELECT *, {delta} FROM l1)" + _out(value, "l2")
+    return f", l0 AS (SELECT *, {base} FROM rgba), l1 AS (SELECT *, {low} FROM l0), l2 AS (SELECT *, {delta} FROM l1)", value
+
+
+def _lut(kind: str) -> str:
+    ctes, value = _lut_steps(kind)
+    return _rgba(1.3) + ctes + _out(value, "l2")
 
 
 @query(_lut("tetrahedral"))
@@ -476,6 +502,12 @@ def lut3d_tetra(spark, d):
     return out(N.lut3d(rgba(spark, d, 1.3), 17, _grid), *P.RGB)
 
 
+@query(_lut("tetrahedral"))
+def lut3d_table(spark, d):
+    """The same table as values, broadcast and looked up by batch."""
+    return out(N.lut3d(rgba(spark, d, 1.3), 17, _table(spark)), *P.RGB)
+
+
 @query(_lut("trilinear"))
 def lut3d_tri(spark, d):
     return out(N.lut3d(rgba(spark, d, 1.3), 17, _grid, "trilinear"), *P.RGB)
@@ -601,39 +633,60 @@ def chain(kinds: list[str], params: dict[str, dict] | None = None) -> str:
     return json.dumps({"version": "0.4", "inputs": [{"port": "raw", "kind": "Image2D", "width": SIDE, "height": SIDE}], "nodes": nodes, "edges": edges})
 
 
-def node_functions(height: int, width: int) -> dict[str, Callable[..., DataFrame]]:
-    """How each node runs on pixels of images of one size that fit in a tile."""
+def raw8(codes: Column) -> Column:
+    return F.transform(codes, lambda v: F.floor(v / 64).cast("double"))
+
+
+def raw_frame(spark: SparkSession, d: str) -> D.Frame:
+    images = codes(spark, d).select("image_id", raw8(F.col("codes")).alias("raw"), F.lit(json.dumps(CALIBRATION)).alias("meta"))
+    return D.raw_frame(images, F.col("raw"), SIDE, SIDE)
+
+
+def dng_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each mosaic as the bytes of a DNG file."""
+    fields = {k: bytes(v) if k == "cfa_pattern" else int(v) if k == "white" else v for k, v in CALIBRATION.items()}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            content = [dng.encode(np.array(c).reshape(SIDE, SIDE), **fields) for c in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(content, pa.binary())], names=["path", "content"])
+
+    return codes(spark, d).select(F.concat(F.col("image_id").cast("string"), F.lit(".dng")).alias("path"), raw8(F.col("codes")).alias("raw")).mapInArrow(run, "path string, content binary")
+
 
-    def tiled(kernel: S.Kernel, radius: int, channels: tuple[str, ...]) -> Callable[[DataFrame], DataFrame]:
-        size = max(height, width)
-        return lambda df: S.pixels(S.stencil(S.cut_tiles(df, channels, height, width, size), kernel, radius), (*P.RGB, "a"))
+def run_graph(frame: D.Frame, text: str) -> DataFrame:
+    return S.pixels(G.fold(G.load(text), frame, D.RUN, D.convert).tiles, (*P.RGB, "a"))
 
-    return {
-        "linearize.dng_lut": lambda df, p: df.withColumn("v", F.col("v").cast("double")),
-        "blacklevel.dng_levels": lambda df, p: N.black_white(df, BLACK, WHITE, CFA),
-        "demosaic.bilinear": lambda df, p: N.store_f16(tiled(S.demosaic_bilinear(CFA), 1, ("v",))(df)),
-        "demosaic.rcd": lambda df, p: N.store_f16(tiled(S.demosaic_rcd(CFA), 3, ("v",))(df)),
-        "demosaic.amaze": lambda df, p: N.store_f16(tiled(S.demosaic_amaze(CFA), 3, ("v",))(df)),
-        "wb.dual_illuminant": lambda df, p: N.store_f16(N.white_balance(df, NEUTRAL)),
-        "wb.greyworld_auto": lambda df, p: N.store_f16(N.white_balance_by_image(df, M.greyworld(df))),
-        "colormatrix.dng_to_working": lambda df, p: N.store_f16(N.color_matrix(df, CAMERA)),
-        "denoise.bm3d": lambda df, p: N.store_f16(tiled(S.block_denoise(S.noise_sigma(None, p.get("sigma"), p.get("sigma_override"))), 1, (*P.RGB, "a"))(df)),
-        "denoise.guided_filter": lambda df, p: N.store_f16(tiled(*S.guided_filter(p.get("radius", 1), p.get("eps", 0.015)), (*P.RGB, "a"))(df)),
-        "denoise.wavelet_bayes_shrink": lambda df, p: N.store_f16(tiled(S.wavelet_shrink(p.get("chroma_strength", 1.0)), 1, (*P.RGB, "a"))(df)),
-        "tone.reinhard": lambda df, p: N.store_f16(N.reinhard(df, p.get("white_point"))),
-        "tone.aces_filmic": lambda df, p: N.store_f16(N.aces_filmic(df, p.get("toggle", True))),
-        "tone.filmic_rgb": lambda df, p: N.store_f16(N.filmic_rgb(df, **p)),
-        "color.3d_lut": lambda df, p: N.store_f16(N.lut3d(df, 17, _grid, p.get("interpolation", "tetrahedral"))),
-        "sharpen.edge_aware_usm": lambda df, p: N.store_f16(tiled(*S.edge_aware_usm(p.get("strength", 0.75), p.get("radius", 1), p.get("threshold", 0.0)), (*P.RGB, "a"))(df)),
-        "color.scene_linear_to_display": lambda df, p: N.to_display(df, p.get("target", "sRGB")),
-    }
 
+def by_path(px: DataFrame, files: DataFrame) -> DataFrame:
+    """Pixels of files, with the number in the file's name as id."""
+    names = files.select(F.xxhash64("path").alias("image_id"), F.substring_index("path", ".", 1).cast("long").alias("number"))
+    return px.join(names, "image_id").drop("image_id").withColumnRenamed("number", "image_id")
 
-def run_graph(spark: SparkSession, d: str, text: str) -> DataFrame:
-    return G.fold(G.load(text), mosaic(spark, d), node_functions(SIDE, SIDE))
 
+@query(f"{_PX}{_out({'v': 'floor(v / 64)'}, 'px')}")
+def dng_scan(spark, d):
+    """Samples of DNG files, cut into tiles of 4x4 where they are read."""
+    files = dng_files(spark, d)
+    return out(by_path(S.pixels(D.dng_frame(files, 4).tiles, ("v",)), files), "v")
 
-def _minimum() -> str:
+
+@query(f"""SELECT CAST(vec_id AS BIGINT) AS image_id, 8 AS height, 8 AS width, 2 AS cfa_rows, {len(LINEAR)} AS table_size, CAST(15000 AS DOUBLE) AS white, 17 AS illuminant1, round(0.25, 6) AS blue FROM embeddings""")
+def dng_headers(spark, d):
+    files = dng_files(spark, d)
+    h = dng.headers(files)
+    number = F.substring_index("path", ".", 1).cast("long").alias("image_id")
+    return h.select(number, "height", "width", F.get("cfa_repeat", F.lit(0)).alias("cfa_rows"), F.size("linearization").alias("table_size"), "white", "illuminant1", F.round(F.get("neutral", F.lit(2)), 6).alias("blue"))
+
+
+_LIN = f"CAST({LINEAR} AS DOUBLE[])"
+
+
+def _scene() -> str:
+    """The smallest graph in SQL, up to the scene in half floats: ``a6(image_id, y, x, r, g, b)``."""
     s = lambda a, b: f"n{a + 1}{b + 1}"
     level = f"CASE ((y + dy + 4) % 2) * 2 + (x + dx + 4) % 2 WHEN 0 THEN {BLACK[0]}::DOUBLE WHEN 3 THEN {BLACK[2]}::DOUBLE ELSE {BLACK[1]}::DOUBLE END"
     cols = []
@@ -641,30 +694,122 @@ def _minimum() -> str:
         for j in (-1, 0, 1):
             yy, xx = f"least(greatest(y + ({i}), 0), 7)", f"least(greatest(x + ({j}), 0), 7)"
             lv = level.replace("y + dy", yy).replace("x + dx", xx)
-            cols.append(f"{_clamp(f'(c[{yy} * 8 + {xx} + 1] - ({lv})) / ({WHITE}::DOUBLE - ({lv}))')} AS {s(i, j)}")
+            code = f"{_LIN}[CAST(floor(c[{yy} * 8 + {xx} + 1] / 64) AS INTEGER) + 1]"
+            cols.append(f"{_clamp(f'({code} - ({lv})) / ({WHITE}::DOUBLE - ({lv}))')} AS {s(i, j)}")
     h, v = f"({s(0, -1)} + {s(0, 1)}) / 2", f"({s(-1, 0)} + {s(1, 0)}) / 2"
     diag = f"({s(-1, -1)} + {s(-1, 1)} + {s(1, -1)} + {s(1, 1)}) / 4"
     r, g, b = (x.replace(_s(0, 0), s(0, 0)) for x in _spread(h, v, diag, f"CASE WHEN {_site(0, 0)} = 1 THEN {s(0, 0)} ELSE ({h} + {v}) / 2 END"))
-    steps = [("a1", "nb", {"r": r, "g": g, "b": b}, False), ("a2", "a1", {c: _f16(c) for c in "rgb"}, True), ("a3", "a2", {c: f"{c} / {_n(n)}" for c, n in zip("rgb", NEUTRAL, strict=True)}, True)]
-    steps += [("a4", "a3", {c: _f16(c) for c in "rgb"}, True), ("a5", "a4", dict(zip("rgb", _matrix(_M), strict=True)), True), ("a6", "a5", {c: _f16(c) for c in "rgb"}, True)]
-    ctes = "".join(f", {n} AS (SELECT image_id, y, x, {', '.join(f'{e} AS {c}' for c, e in m.items())} FROM {f})" for n, f, m, _ in steps)
-    return f"{_PX}, nb AS (SELECT image_id, y, x, {', '.join(cols)} FROM px){ctes}" + _out(_SRGB | {"a": "255"}, "a6")
+    steps = [("a1", "nb", {"r": r, "g": g, "b": b}), ("a2", "a1", {c: _f16(c) for c in "rgb"}), ("a3", "a2", {c: f"{c} / {_n(n)}" for c, n in zip("rgb", NEUTRAL, strict=True)})]
+    steps += [("a4", "a3", {c: _f16(c) for c in "rgb"}), ("a5", "a4", dict(zip("rgb", _matrix(_M), strict=True))), ("a6", "a5", {c: _f16(c) for c in "rgb"})]
+    return f"{_PX}, nb AS (SELECT image_id, y, x, {', '.join(cols)} FROM px)" + "".join(f", {n} AS (SELECT image_id, y, x, {', '.join(f'{e} AS {c}' for c, e in m.items())} FROM {f})" for n, f, m in steps)
 
 
-@query(_minimum())
+def _classic() -> str:
+    """The long graph on top of it: chroma shrink, tone, table and sharpening; ``z(image_id, y, x, r, g, b)``."""
+    lists = lambda name, f: f", {name}l AS (SELECT image_id, {', '.join(f'list({c} ORDER BY y, x) AS l{c}' for c in 'rgb')} FROM {f} GROUP BY image_id), {name} AS (SELECT p.*, lr, lg, lb FROM {f} p JOIN {name}l USING (image_id))"
+    at = lambda c, dy, dx: f"l{c}[(y - y % 2 + {dy}) * 8 + (x - x % 2 + {dx}) + 1]"
+    co, cg = (lambda a, b: f"({at('r', a, b)} - {at('b', a, b)})"), (lambda a, b: f"({at('g', a, b)} - ({at('r', a, b)} + {at('b', a, b)}) / 2)")
+    soft = lambda v: f"(CASE WHEN {v} > 0.035e0 THEN {v} - 0.035e0 WHEN {v} < -0.035e0 THEN {v} + 0.035e0 ELSE 0 END)"
+    cols = []
+    for n, f in (("o", co), ("g", cg)):
+        p = [f(0, 0), f(0, 1), f(1, 0), f(1, 1)]
+        for name, signs in (("l", "++++"), ("h", "+-+-"), ("v", "++--"), ("d", "+--+")):
+            cols.append(f"({' '.join((s if k else '') + x for k, (s, x) in enumerate(zip(signs, p, strict=True)))}) / 4 AS {n}{name}")
+    sx, sy = "(1 - 2 * (x % 2))", "(1 - 2 * (y % 2))"
+    back = {n: f"({n}l + {sx} * {soft(n + 'h')} + {sy} * {soft(n + 'v')} + {sx} * {sy} * {soft(n + 'd')})" for n in "og"}
+    t = "((r + 2 * g + b) / 4 - vg / 2)"
+    shrunk = {"r": f"greatest(0e0, {t} + vo / 2)", "g": f"greatest(0e0, {t} + vg)", "b": f"greatest(0e0, {t} - vo / 2)"}
+    each = lambda name, f, m: f", {name} AS (SELECT image_id, y, x, {', '.join(f'{_f16(v)} AS {c}' for c, v in m.items())} FROM {f})"
+    sql = _scene() + lists("w", "a6") + f", w1 AS (SELECT *, {', '.join(cols)} FROM w), w2 AS (SELECT *, {back['o']} AS vo, {back['g']} AS vg FROM w1), w3 AS (SELECT image_id, y, x, {', '.join(f'{v} AS {c}' for c, v in shrunk.items())} FROM w2)"
+    sql += each("w4", "w3", {c: c for c in "rgb"})
+    tone = {c: _clamp(f"greatest({c}, 0e0) * (greatest({c}, 0e0) / 1e12 + 1) / (greatest({c}, 0e0) + 1)") for c in "rgb"}
+    sql += f", t0 AS (SELECT image_id, y, x, {', '.join(f'{v} AS {c}' for c, v in tone.items())} FROM w4)" + each("rgba", "t0", {c: c for c in "rgb"})
+    ctes, value = _lut_steps("tetrahedral")
+    sql += f"{ctes}, t2 AS (SELECT image_id, y, x, {', '.join(f'{v} AS {c}' for c, v in value.items())} FROM l2)" + each("t3", "t2", {c: c for c in "rgb"}) + lists("u", "t3")
+    mean = lambda c: _add(*[_add(*[f"l{c}[least(greatest(y + ({a}), 0), 7) * 8 + least(greatest(x + ({b}), 0), 7) + 1]" for a in (-1, 0, 1)]) for b in (-1, 0, 1)]) + " / 9"
+    sql += f", u1 AS (SELECT image_id, y, x, {', '.join(f'greatest(0e0, {c} + 0.75e0 * ({c} - {mean(c)})) AS {c}' for c in 'rgb')} FROM u)"
+    return sql + each("z", "u1", {c: c for c in "rgb"})
+
+
+@query(_scene() + _out(_SRGB | {"a": "255"}, "a6"))
 def min_pipeline(spark, d):
     """The smallest whole graph: mosaic codes to 8-bit sRGB."""
-    return out(run_graph(spark, d, chain(MINIMUM)), *P.RGB, "a")
+    return out(run_graph(raw_frame(spark, d), chain(MINIMUM)), *P.RGB, "a")
 
 
-@query()
+@query(_scene() + _out(_SRGB | {"a": "255"}, "a6"))
+def dng_min_pipeline(spark, d):
+    """The same from the bytes of DNG files, in tiles of 4x4 that exchange halos."""
+    files = dng_files(spark, d)
+    return out(by_path(run_graph(D.dng_frame(files, 4), chain(MINIMUM)), files), *P.RGB, "a")
+
+
+@query(_scene() + _out({c: _q(c, 255) for c in "rgb"} | {"a": "255"}, "a6"))
+def graph_conversion(spark, d):
+    """A graph whose last node takes 8 bits: the conversion is put in."""
+    return out(run_graph(raw_frame(spark, d), chain([*MINIMUM[:-1], "builtin.passthrough"])), *P.RGB, "a")
+
+
+def _look(spark: SparkSession) -> str:
+    """A table file in the shared folder, made in closed form."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{folder.rstrip('/')}/tessella-look-17.cube"
+    rasters.write_cube(spark, path, 17, _grid)
+    return path
+
+
+@query(_classic() + _out(_SRGB | {"a": "255"}, "z"))
 def full_classic_sdr(spark, d):
-    return out(run_graph(spark, d, chain(STAGES)), *P.RGB, "a")
+    return out(run_graph(raw_frame(spark, d), chain(STAGES, {"color.3d_lut": {"lut_path": _look(spark)}})), *P.RGB, "a")
 
 
-@query()
+@query(_classic() + _out(_PQ | {"a": "65472"}, "z"))
 def full_classic_hdr(spark, d):
-    return out(run_graph(spark, d, chain(STAGES, {STAGES[-1]: {"target": "BT2020-PQ"}})), *P.RGB, "a")
+    return out(run_graph(raw_frame(spark, d), chain(STAGES, {STAGES[-1]: {"target": "BT2020-PQ"}, "color.3d_lut": {"lut_path": _look(spark)}})), *P.RGB, "a")
+
+
+def _lens() -> str:
+    gain = f"(1 + {_R2} * (0.5e0 + {_R2} * 0.1e0))"
+    px = {c: f"CASE WHEN {_IN} THEN {_f16(f'{c} * {gain}')} ELSE 0 END" for c in "rgb"}
+    return _rgba() + ", h AS (SELECT image_id, y, x, " + ", ".join(f"{_f16(c)} AS {c}" for c in "rgb") + " FROM rgba)" + _out(px | {"a": f"CASE WHEN {_IN} THEN 1 ELSE 0 END"}, "h")
+
+
+@query(_lens())
+def lens_opcodes(spark, d):
+    """A list of opcodes in their order: an optional unknown one, a vignette fix and a trim."""
+    import base64
+    import struct
+
+    ops = dng.opcode_list((99, 1, b""), (3, 0, struct.pack(">7d", 0.5, 0.1, 0, 0, 0, 0.5, 0.5)), (6, 0, struct.pack(">4I", 1, 2, 6, 7)))
+    meta = json.dumps({"opcode3": base64.b64encode(ops).decode()})
+    tiles = rgba_tiles(spark, d).withColumn("meta", F.lit(meta))
+    frame = D.Frame(tiles, spark.createDataFrame([(meta,)], "meta string"))
+    frame = frame.each(lambda p, *_: D.f16(p))
+    return out(S.pixels(D.lens_opcodes(frame, {}).tiles, (*P.RGB, "a")), *P.RGB, "a")
+
+
+@query("""WITH i AS (SELECT CAST(vec_id AS BIGINT) AS image_id, label % 6 AS k FROM embeddings)
+SELECT image_id, k IN (0, 1, 2, 3) AS bayer, k = 4 AS quad FROM i""")
+def cfa_predicates(spark, d):
+    patterns = [*D.BAYER, D.QUAD_BAYER, [0, 1, 2, 1]]
+    k = F.col("label") % 6
+    pattern = F.get(F.array(*[F.array(*[F.lit(v) for v in p]) for p in patterns]), k)
+    side = F.when(k == 4, F.lit(4)).otherwise(F.lit(2))
+    images = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("image_id"), F.array(side, side).alias("repeat"), pattern.alias("pattern"))
+    return images.select("image_id", D.is_bayer(F.col("repeat"), F.col("pattern")).alias("bayer"), D.is_quad_bayer(F.col("repeat"), F.col("pattern")).alias("quad"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, props FROM events)
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'opcode_list_2,props' ELSE 'opcode_list_2,props,' || event_type END AS keys, CASE WHEN event_type = 'error' THEN NULL ELSE props END AS own FROM e""")
+def ext_blobs(spark, d):
+    """Named blobs of an image: set, read, erase and list."""
+    rows = events(spark, d).withColumn("blobs", B.blobs())
+    rows = rows.withColumn("blobs", B.put(B.put(B.put(F.col("blobs"), F.lit("props"), F.col("props").cast("binary")), F.col("event_type"), F.col("props").cast("binary")), F.lit("opcode_list_2"), F.lit("x").cast("binary")))
+    rows = rows.withColumn("blobs", F.when(F.col("event_type") == "error", B.erase(F.col("blobs"), F.lit("error"))).otherwise(F.col("blobs")))
+    # The keys come in order; the event's own name is put last.
+    keys = F.array_sort(F.array_remove(B.keys(F.col("blobs")), F.col("event_type")))
+    named = F.when(F.array_contains(B.keys(F.col("blobs")), F.col("event_type")), F.concat(keys, F.array("event_type"))).otherwise(keys)
+    return rows.select("event_id", F.array_join(named, ",").alias("keys"), B.get(F.col("blobs"), F.col("event_type")).cast("string").alias("own"))
 
 
 _ORDER = ", ".join(f"({k}, 'n{k:02d}', '{t}')" for k, t in enumerate(STAGES))

@@ -1,33 +1,49 @@
-"""Uncompressed DNG files: tags, opcode lists and samples."""
+"""Uncompressed DNG files: tags, opcode lists and samples, read into tiles and written."""
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.operators.pointwise import NodeError
 
 # TIFF field types (struct code, bytes) and the tags that are read.
 _TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 7: ("B", 1), 10: ("ii", 8)}
 TAGS = {
-    "width": 256, "height": 257, "bits": 258, "strip_offsets": 273, "orientation": 274, "samples": 277, "strip_bytes": 279,
+    "width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "make": 271, "model": 272, "strip_offsets": 273, "orientation": 274, "samples": 277, "strip_bytes": 279,
     "cfa_repeat": 33421, "cfa_pattern": 33422, "exif": 34665, "exposure": 33434, "aperture": 33437, "iso": 34855, "focal": 37386,
     "linearization": 50712, "black": 50714, "white": 50717, "color_matrix1": 50721, "color_matrix2": 50722, "neutral": 50728,
     "illuminant1": 50778, "illuminant2": 50779, "active_area": 50829, "forward_matrix1": 50964, "forward_matrix2": 50965,
     "opcode2": 51009, "opcode3": 51022,
 }
+_CFA_PHOTOMETRIC, _PLAIN = 32803, 1
+
+SCHEMA = (
+    "height int, width int, active_area array<int>, cfa_repeat array<int>, cfa_pattern array<int>, black array<double>, white double, linearization array<int>, "
+    "neutral array<double>, color_matrix1 array<double>, color_matrix2 array<double>, forward_matrix1 array<double>, forward_matrix2 array<double>, illuminant1 int, illuminant2 int, "
+    "exposure_ns long, iso int, aperture double, focal_mm double, orientation int, camera_id string, physical_camera_id string, opcode2 binary, opcode3 binary"
+)
+#: What tiles carry of an image, in ``meta``.
+META = [c.split()[0] for c in SCHEMA.split(", ")][2:] + ["noise_profile"]
 
 
 def tags(data: bytes) -> dict[str, list | bytes]:
     """The known fields of the first directory and of the EXIF directory. Little-endian files only."""
-    if data[:4] != b"II*\0":
+    if len(data) < 8 or data[:4] != b"II*\0":
         raise NodeError("FAILED", "not a little-endian TIFF")
     names, out = {v: k for k, v in TAGS.items()}, {}
 
     def directory(at: int) -> None:
+        if at + 2 > len(data):
+            raise NodeError("FAILED", "a directory reaches past the end")
         (count,) = struct.unpack_from("<H", data, at)
+        if at + 2 + 12 * count > len(data):
+            raise NodeError("FAILED", "a directory reaches past the end")
         for k in range(count):
             tag, kind, n = struct.unpack_from("<HHI", data, at + 2 + 12 * k)
             if tag not in names or kind not in _TYPES:
@@ -50,92 +66,192 @@ def tags(data: bytes) -> dict[str, list | bytes]:
     return out
 
 
+def _opcodes(blob: bytes):
+    """Number, flags and parameters of each opcode of a big-endian list; an empty blob is an empty list."""
+    if not blob:
+        return
+    if len(blob) < 4:
+        raise NodeError("FAILED", "opcode count cut off")
+    at = 4
+    for _ in range(struct.unpack_from(">I", blob)[0]):
+        if at + 16 > len(blob):
+            raise NodeError("FAILED", "opcode cut off")
+        code, _, flags, size = struct.unpack_from(">IIII", blob, at)
+        if at + 16 + size > len(blob):
+            raise NodeError("FAILED", "opcode parameters cut off")
+        yield code, flags, blob[at + 16 : at + 16 + size]
+        at += 16 + size
+
+
 def gain_maps(blob: bytes) -> list[dict]:
-    """The gain maps (opcode 9) of a big-endian opcode list; all other opcodes are left out."""
-    out, at = [], 4
-    for _ in range(struct.unpack_from(">I", blob, 0)[0]):
-        code, _, _, size = struct.unpack_from(">IIII", blob, at)
-        body, at = blob[at + 16 : at + 16 + size], at + 16 + size
-        if code == 9:
-            head = struct.unpack_from(">10I4dI", body, 0)
-            rows, columns = head[8:10]
-            if head[14] != 1 or len(body) != 76 + 4 * rows * columns:
-                raise NodeError("FAILED", "gain map shape")
-            out.append({"plane": head[4], "points": (rows, columns), "spacing": head[10:12], "origin": head[12:14], "gain": list(struct.unpack_from(f">{rows * columns}f", body, 76))})
+    """The gain maps (opcode 9) of an opcode list; all other opcodes are left out."""
+    out = []
+    for code, _, body in _opcodes(blob):
+        if code != 9:
+            continue
+        if len(body) < 76:
+            raise NodeError("FAILED", "gain map cut off")
+        head = struct.unpack_from(">10I4dI", body)
+        plane, planes, row_pitch, col_pitch, rows, columns = head[4:10]
+        if len(body) < 76 + 4 * rows * columns:
+            raise NodeError("FAILED", "gain map cut off")
+        if planes not in (1, 4) or plane >= planes or head[14] != 1 or not (row_pitch and col_pitch) or not all(map(math.isfinite, head[10:14])) or min(head[10:12]) <= 0:
+            raise NodeError("UNSUPPORTED", "gain map shape")
+        out.append({"plane": plane, "planes": planes, "points": (rows, columns), "spacing": head[10:12], "origin": head[12:14], "gain": list(struct.unpack_from(f">{rows * columns}f", body, 76))})
     return out
 
 
+def _lens_parameters(code: int, b: bytes) -> dict | None:
+    """The parameters of a known opcode, or None if they are not exactly as long as they must be."""
+    if code == 1 and len(b) >= 4:
+        n = struct.unpack_from(">I", b)[0]
+        if 0 < n <= 4 and len(b) == 4 + 48 * n + 16:
+            v = struct.unpack(f">{6 * n + 2}d", b[4:])
+            return {"coefficients": [v[6 * k : 6 * k + 6] for k in range(n)], "cx": v[-2], "cy": v[-1]}
+    elif code == 3 and len(b) == 56:
+        v = struct.unpack(">7d", b)
+        return {"k": list(v[:5]), "cx": v[5], "cy": v[6]}
+    elif code == 4 and len(b) == 8:
+        return {"constant": struct.unpack(">II", b)[0]}
+    elif code == 5 and len(b) >= 12:
+        _, points, rects = struct.unpack_from(">III", b)
+        if len(b) == 12 + 8 * points + 16 * rects:
+            v = struct.unpack(f">{2 * points + 4 * rects}I", b[12:])
+            return {"points": [v[2 * k : 2 * k + 2] for k in range(points)], "rects": [v[2 * points + 4 * k : 2 * points + 4 * k + 4] for k in range(rects)]}
+    elif code == 6 and len(b) == 16:
+        return dict(zip(("top", "left", "bottom", "right"), struct.unpack(">4I", b), strict=True))
+    return None
+
+
 def lens_opcodes(blob: bytes) -> list[dict]:
-    """Opcodes 1, 3, 4, 5 and 6 of a big-endian list, in order; others only if they are optional."""
-    out, at = [], 4
-    for _ in range(struct.unpack_from(">I", blob, 0)[0]):
-        code, _, flags, size = struct.unpack_from(">IIII", blob, at)
-        b, at = blob[at + 16 : at + 16 + size], at + 16 + size
-        want = None
-        if code == 1:
-            n = struct.unpack_from(">I", b)[0]
-            want = 4 + 48 * n + 16
-            v = struct.unpack(f">{6 * n + 2}d", b[4:]) if size == want else ()
-            op = {"coefficients": [v[6 * k : 6 * k + 6] for k in range(n)], "cx": v[-2], "cy": v[-1]} if v else {}
-        elif code == 3:
-            want = 56
-            v = struct.unpack(">7d", b) if size == want else ()
-            op = {"k": list(v[:5]), "cx": v[5], "cy": v[6]} if v else {}
-        elif code == 4:
-            want = 8
-            op = {"constant": struct.unpack(">II", b)[0] / 65535.0} if size == want else {}
-        elif code == 5:
-            _, points, rects = struct.unpack_from(">III", b)
-            want = 12 + 8 * points + 16 * rects
-            v = struct.unpack(f">{2 * points + 4 * rects}I", b[12:]) if size == want else ()
-            op = {"points": [v[2 * k : 2 * k + 2] for k in range(points)], "rects": [v[2 * points + 4 * k : 2 * points + 4 * k + 4] for k in range(rects)]}
-        elif code == 6:
-            want = 16
-            op = dict(zip(("top", "left", "bottom", "right"), struct.unpack(">4I", b), strict=True)) if size == want else {}
+    """Opcodes 1, 3, 4, 5 and 6 of a list, in order; of others only optional ones, as they do nothing."""
+    out = []
+    for code, flags, body in _opcodes(blob):
+        if code in (1, 3, 4, 5, 6):
+            own = _lens_parameters(code, body)
+            if own is None:
+                raise NodeError("FAILED", f"opcode {code} has {len(body)} bytes")
         elif flags & 1:
-            want, op = size, {}
+            own = {}
         else:
             raise NodeError("UNSUPPORTED", f"opcode {code}")
-        if size != want:
-            raise NodeError("FAILED", f"opcode {code} has {size} bytes")
-        out.append({"id": code, "optional": bool(flags & 1), **op})
+        out.append({"id": code, "optional": bool(flags & 1), **own})
     return out
 
 
-def decode(data: bytes) -> dict:
-    """Samples and calibration of one file with uncompressed 16-bit strips."""
+def header(data: bytes) -> dict:
+    """The columns of ``SCHEMA`` of one file, and where its strips are."""
     t = tags(data)
-    if t.get("samples", [1])[0] != 1 or list(t.get("cfa_repeat", [])) not in ([2, 2], [4, 4]) or "cfa_pattern" not in t:
+    one = lambda k, d: t.get(k, [d])[0]
+    if one("photometric", _CFA_PHOTOMETRIC) != _CFA_PHOTOMETRIC or one("samples", 1) != 1:
+        raise NodeError("FAILED", "not one plane of a filter array")
+    repeat, pattern = list(t.get("cfa_repeat", [])), list(t.get("cfa_pattern", b""))
+    if repeat not in ([2, 2], [4, 4]) or len(pattern) != repeat[0] * repeat[1]:
         raise NodeError("FAILED", "not a 2x2 or 4x4 mosaic")
-    height, width = t["height"][0], t["width"][0]
-    raw = b"".join(data[a : a + n] for a, n in zip(t["strip_offsets"], t["strip_bytes"], strict=True))
-    if len(raw) != 2 * height * width:
+    height, width, bits = one("height", 0), one("width", 0), one("bits", 0)
+    if not height or not width or not 0 < bits <= 16 or not sum(t.get("strip_bytes", [])):
+        raise NodeError("FAILED", "a required field is missing")
+    if one("compression", _PLAIN) != _PLAIN or bits != 16:
         raise NodeError("FAILED", "samples are not uncompressed 16-bit")
-    top, left, bottom, right = t.get("active_area", [0, 0, height, width])
-    real = lambda k, n: [float(v) for v in t.get(k, n)]
+    top, left, bottom, right = t["active_area"] if len(t.get("active_area", [])) == 4 else (0, 0, height, width)
+    real = lambda k: [float(v) for v in t.get(k, [])]
+    text = lambda k: bytes(t.get(k, b"")).split(b"\0")[0].decode("ascii", "replace")
     return {
-        "height": height, "width": width, "codes": np.frombuffer(raw, "<u2").astype(float), "active_area": [left, top, right - left, bottom - top],
-        "cfa_repeat": list(t["cfa_repeat"]), "cfa_pattern": list(t["cfa_pattern"]), "black": real("black", [0]), "white": float(t.get("white", [65535])[0]),
-        "linearization": [int(v) for v in t.get("linearization", [])], "neutral": real("neutral", []), "color_matrix1": real("color_matrix1", []), "color_matrix2": real("color_matrix2", []),
-        "forward_matrix1": real("forward_matrix1", []), "forward_matrix2": real("forward_matrix2", []), "illuminant1": t.get("illuminant1", [0])[0], "illuminant2": t.get("illuminant2", [0])[0],
-        "exposure_ns": int(t.get("exposure", [0])[0] * 1e9), "iso": int(t.get("iso", [0])[0]), "opcode2": bytes(t.get("opcode2", b"")), "opcode3": bytes(t.get("opcode3", b"")),
+        "height": height, "width": width, "active_area": [left, top, right - left, bottom - top] if bottom >= top and right >= left else [0, 0, width, height],
+        "cfa_repeat": repeat, "cfa_pattern": pattern, "black": (real("black") + [0.0] * 4)[:4], "white": float(one("white", 0)),
+        "linearization": [int(v) for v in t.get("linearization", [])], "neutral": real("neutral")[:3], "color_matrix1": real("color_matrix1"), "color_matrix2": real("color_matrix2"),
+        "forward_matrix1": real("forward_matrix1"), "forward_matrix2": real("forward_matrix2"), "illuminant1": one("illuminant1", 0), "illuminant2": one("illuminant2", 0),
+        "exposure_ns": int(round(one("exposure", 0) * 1e9)), "iso": int(one("iso", 0)), "aperture": float(one("aperture", 0)), "focal_mm": float(one("focal", 0)), "orientation": one("orientation", 1),
+        "camera_id": text("make"), "physical_camera_id": text("model"), "opcode2": bytes(t.get("opcode2", b"")), "opcode3": bytes(t.get("opcode3", b"")),
+        "strips": list(zip(t["strip_offsets"], t["strip_bytes"], strict=False)),
     }
 
 
-SCHEMA = (
-    "path string, height int, width int, codes array<double>, active_area array<int>, cfa_repeat array<int>, cfa_pattern array<int>, black array<double>, white double, linearization array<int>, "
-    "neutral array<double>, color_matrix1 array<double>, color_matrix2 array<double>, forward_matrix1 array<double>, forward_matrix2 array<double>, illuminant1 int, illuminant2 int, "
-    "exposure_ns long, iso int, opcode2 binary, opcode3 binary"
-)
+def samples(data: bytes, head: dict) -> np.ndarray:
+    """The file's codes, row by row; what a strip lacks is 0."""
+    size = 2 * head["height"] * head["width"]
+    if any(a + n > len(data) for a, n in head["strips"]):
+        raise NodeError("FAILED", "a strip reaches past the end")
+    raw = b"".join(data[a : a + n] for a, n in head["strips"])[:size].ljust(size, b"\0")
+    return np.frombuffer(raw, "<u2").reshape(head["height"], head["width"])
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """``image_id, path`` and the columns of ``SCHEMA`` of ``files(path, content)``; the id is a hash of the path."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = [header(c) for c in batch.column(1).to_pylist()]
+            kinds = dict(zip(names, (c.split()[1] for c in SCHEMA.split(", ")), strict=True))
+            arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+            yield pa.record_batch([batch.column(0), *[pa.array([r[k] for r in rows], arrow[kinds[k]]) for k in names]], names=["path", *names])
+
+    out = files.select("path", "content").mapInArrow(run, f"path string, {SCHEMA}")
+    return out.select(F.xxhash64("path").alias("image_id"), "*")
+
+
+def tiles(files: DataFrame, images: DataFrame, size: int, meta) -> DataFrame:
+    """Tiles of the samples of ``files(path, content)``, with ``meta`` (a column of ``images``), cut where a file is read."""
+    from tessella.operators import stencil as S
+
+    def run(batches):
+        for batch in batches:
+            for path, data, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head = header(data)
+                codes = samples(data, head)
+                for y in range(0, head["height"], size):
+                    for x in range(0, head["width"], size):
+                        part = codes[y : y + size, x : x + size].astype(float)
+                        shape = {"height": head["height"], "width": head["width"], "y0": y, "x0": x, "h": part.shape[0], "w": part.shape[1], "meta": said}
+                        yield S.tile_rows(np.array([path]), shape, part[None, None])
+
+    known = images.select("image_id", meta.alias("meta"))
+    rows = files.select(F.xxhash64("path").alias("image_id"), "content").join(known, "image_id").select("image_id", "content", "meta")
+    return rows.mapInArrow(run, S.TILES)
 
 
 def read_dng(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: samples and calibration. A file is decoded where Spark reads it."""
+    """``path, content`` of the files at ``path``, wherever Spark can read."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def encode(codes: np.ndarray, **fields) -> bytes:
+    """A file with one strip. ``fields`` are tags by name: numbers, lists, bytes, or floats for rationals."""
+    height, width = codes.shape
+    fields = {"width": width, "height": height, "bits": 16, "compression": _PLAIN, "photometric": _CFA_PHOTOMETRIC, "samples": 1, "cfa_repeat": [2, 2], "cfa_pattern": bytes([0, 1, 1, 2])} | fields
+    strip = codes.astype("<u2").tobytes()
+    short = {"bits", "compression", "photometric", "orientation", "samples", "cfa_repeat", "linearization", "illuminant1", "illuminant2", "iso"}
+    rows = []
+    for name, v in sorted({**fields, "strip_offsets": 0, "strip_bytes": len(strip)}.items(), key=lambda f: TAGS[f[0]]):
+        if isinstance(v, str):
+            v = v.encode() + b"\0"
+        if isinstance(v, bytes):
+            rows.append((name, 2 if name in ("make", "model") else 1 if name == "cfa_pattern" else 7, len(v), v))
+            continue
+        many = [v] if isinstance(v, (int, float)) else list(v)
+        if any(isinstance(x, float) for x in many):
+            rows.append((name, 10, len(many), b"".join(struct.pack("<ii", *_ratio(x)) for x in many)))
+        else:
+            rows.append((name, 3 if name in short else 4, len(many), struct.pack(f"<{len(many)}{'H' if name in short else 'I'}", *many)))
+    at = 8 + 2 + 12 * len(rows) + 4
+    places, extra = [], b""
+    for _, _, _, body in rows:
+        places.append(at + len(extra) if len(body) > 4 else None)
+        extra += body + b"\0" * (len(body) % 2) if len(body) > 4 else b""
+    out = struct.pack("<2sHIH", b"II", 42, 8, len(rows))
+    for (name, kind, n, body), place in zip(rows, places, strict=True):
+        value = struct.pack("<I", at + len(extra)) if name == "strip_offsets" else body.ljust(4, b"\0") if place is None else struct.pack("<I", place)
+        out += struct.pack("<HHI", TAGS[name], kind, n) + value
+    return out + b"\0\0\0\0" + extra + strip
+
 
-    def run(parts):
-        import pandas as pd
+def _ratio(x: float) -> tuple[int, int]:
+    """Numerator and denominator of 31 bits that come close to a number."""
+    below = 1 << max(0, 30 - max(0, math.frexp(x)[1]))
+    return round(x * below), below
 
-        for pdf in parts:
-            yield pd.DataFrame([{"path": p, **decode(c)} for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+def opcode_list(*opcodes: tuple[int, int, bytes]) -> bytes:
+    """A big-endian list of (number, flags, parameters)."""
+    return struct.pack(">I", len(opcodes)) + b"".join(struct.pack(">IIII", code, 0x01030000, flags, len(body)) + body for code, flags, body in opcodes)

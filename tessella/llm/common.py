@@ -12,6 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Partitions that a task writes one after the other share a file beyond so many for each core.
+FILES_PER_CORE = 8
+
 #: For each ``scratch`` that is open, the tables staged since.
 _open: list[list[str]] = []
 
@@ -34,11 +37,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     It cuts the lineage, so that what follows neither recomputes ``df`` nor depends on the
-    executors that made it.
+    executors that made it. Its files are as many as keep all cores busy several times over, not as many as there
+    are partitions: most of these tables are small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     for paths in _open:

@@ -17,8 +17,9 @@ SKETCH_BITS = 18
 _CHUNK = 1 << 12
 #: Bits of the map of candidate documents that a later scan uses to skip the others: a fixed 2 MB.
 MAP_BITS = 24
-#: Shingles per document are also counted in so many hashed classes, for the suffix filter.
-CLASSES, COARSE = 256, 32
+#: Shingles per document are also counted in hashed classes, for the suffix filter: so many at least and at most, and some
+#: four shingles in each between. COARSE are compared first.
+CLASSES, MOST_CLASSES, COARSE = 256, 1 << 16, 32
 #: An n-gram that the sketch counts no more often than this (and four mean counters) may be grouped in one task.
 HOT_ROWS, SALTS = 20_000, 64
 #: Documents that share an n-gram are paired by a join if they are few, and compared in blocks if they are more.
@@ -35,19 +36,43 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def _classes(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    at = doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=n * CLASSES), 255).astype(np.uint8).reshape(n, CLASSES)
+def _classes(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each document the number of its shingles in each class, as bytes; a full counter is 255."""
+    size = np.left_shift(1, np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(np.log2(CLASSES), np.log2(MOST_CLASSES)).astype(np.int64))
+    ends = np.cumsum(size)
+    at = (ends - size)[doc] + (h & (size - 1).astype(np.uint64)[doc]).astype(np.int64)
+    data = np.minimum(np.bincount(at, minlength=int(size.sum())), 255).astype(np.uint8).tobytes()
+    return [data[b - k : b] for b, k in zip(ends.tolist(), size.tolist(), strict=True)]
 
 
-def _counts(classes) -> np.ndarray:
-    return np.frombuffer(b"".join(classes), np.uint8).reshape(-1, CLASSES).astype(np.int32)
+def _counts(classes: list[bytes], size: int) -> np.ndarray:
+    """Counters of documents that have at least ``size`` classes, summed to so many."""
+    width = len(classes[0])
+    return np.frombuffer(b"".join(classes), np.uint8).reshape(len(classes), width // size, size).sum(1, dtype=np.int32)
 
 
-def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Most shingles that two sets can share, by their counts in each class; a full counter says nothing."""
-    low = np.minimum(x, y)
-    return np.where((low == 255).any(-1), 1 << 30, low.sum(-1))
+def _by_size(classes) -> dict[int, np.ndarray]:
+    size = np.array([len(c) for c in classes])
+    return {int(k): np.flatnonzero(size == k) for k in np.unique(size)}
+
+
+def _full(classes: list[bytes]) -> np.ndarray:
+    """Documents with a full counter: their counts say nothing."""
+    return np.array([b"\xff" in c for c in classes], bool)
+
+
+def _bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Most shingles that each set of ``a`` and its partner in ``b`` can share, by their counts in each class."""
+    out = np.full(len(a), 1 << 30, np.int64)
+    keys = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for x, y in np.unique(keys, axis=0):
+        at = np.flatnonzero((keys == (x, y)).all(1))
+        for part in np.split(at, range(1024, len(at), 1024)):
+            one, two = [a[k] for k in part], [b[k] for k in part]
+            known = ~(_full(one) | _full(two))
+            size = int(min(x, y))
+            out[part[known]] = np.minimum(_counts(one, size), _counts(two, size)).sum(1)[known]
+    return out
 
 
 def _profile(width: int):
@@ -64,9 +89,9 @@ def _profile(width: int):
             for salt in (0x1234567, 0x7654321):
                 run_sum = np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64))).astype(np.uint64)
                 sums.append((run_sum[ends] - run_sum[ends - n]).view(np.int64))
-            classes = _classes(h, np.repeat(np.arange(len(n)), n), len(n))
+            classes = _classes(h, np.repeat(np.arange(len(n)), n), n)
             nulls = pa.nulls(len(n), pa.int32())
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array([x.tobytes() for x in classes], pa.binary()), nulls, pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(classes, pa.binary()), nulls, pa.nulls(len(n), pa.binary())], schema=schema)
         full = [k for k in range(len(total) // _CHUNK) if total[k * _CHUNK : (k + 1) * _CHUNK].any()]
         empty = pa.nulls(len(full), pa.int64())
         yield pa.record_batch([empty, empty, empty, empty, pa.nulls(len(full), pa.binary()), pa.array(full, pa.int32()), pa.array([total[k * _CHUNK : (k + 1) * _CHUNK].tobytes() for k in full], pa.binary())], schema=schema)
@@ -167,7 +192,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 @F.pandas_udf(LongType())
 def _class_bound(a: pd.Series, b: pd.Series) -> pd.Series:
     """Most shingles two sets can share, from their counts by hashed class."""
-    return pd.Series(_bound(_counts(a), _counts(b)), dtype="int64")
+    return pd.Series(_bounds(a.tolist(), b.tolist()), dtype="int64")
 
 
 @F.pandas_udf(LongType())
@@ -210,7 +235,7 @@ def _candidates(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray
     if i == j:
         ok = np.triu(ok, 1)
     for mine, other, turn in ((left, right, False), (right, left, True)):
-        hubs = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in pdf["tried"].iloc[mine]]
+        hubs = [np.asarray(x, np.int64) for x in pdf["tried"].iloc[mine]]
         row, hub = np.repeat(np.arange(len(mine)), [len(x) for x in hubs]), np.concatenate([*hubs, np.zeros(0, np.int64)])
         if len(other) and len(hub):
             order = np.argsort(ids[other])
@@ -228,24 +253,37 @@ def _with_pairs(left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> tuple[np
 
 
 _ROW = {"token": "long", "i": "int", "j": "int", "block": "int", "doc_id": "long", "n": "int", "pos": "long", "comp": "long", "tried": "array<long>"}
+#: A block's pairs come one by one if there are no more than so many for each of its documents.
+PAIRS = 4
 
 
 def _block_rows(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The rows of two blocks of an n-gram's documents that have a pair which passes the suffix filter."""
+        """The pairs of two blocks of an n-gram's documents that pass the suffix filter: a few as pairs, many by their rows."""
         left, right, ok = _candidates(pdf, percent)
         # What two sets share can't exceed what they share in each class of hashed shingles: few classes, then all.
-        ca, cb = _counts(pdf["classes"].iloc[left]), _counts(pdf["classes"].iloc[right])
-        sa, sb = (x.reshape(len(x), COARSE, CLASSES // COARSE).sum(2) for x in (ca, cb))
-        full, n = (cb == 255).any(1), pdf["n"].to_numpy()
-        for k in range(len(left)):
-            at = np.flatnonzero(ok[k])
-            need = _need(n[left[k]], n[right[at]], percent)
-            ok[k, at] = full[at] | (np.minimum(sa[k], sb[at]).sum(1) >= need)
-            some = ok[k, at]
-            ok[k, at[some]] = _bound(ca[k], cb[at[some]]) >= need[some]
-        left, right, _ = _with_pairs(left, right, ok)
-        return pdf.iloc[np.union1d(left, right)][list(_ROW)]
+        n, classes = pdf["n"].to_numpy(), pdf["classes"].tolist()
+        groups = [_by_size([classes[k] for k in side]) for side in (left, right)]
+        for x, rows in groups[0].items():
+            for y, columns in groups[1].items():
+                one, two = [classes[k] for k in left[rows]], [classes[k] for k in right[columns]]
+                ca, cb = (_counts(c, min(x, y)) for c in (one, two))
+                sa, sb = (_counts(c, COARSE) for c in (one, two))
+                known = ~_full(one)[:, None] & ~_full(two)[None, :]
+                for k, row in enumerate(rows):
+                    at = np.flatnonzero(ok[row, columns] & known[k])
+                    if len(at):
+                        need = _need(n[left[row]], n[right[columns[at]]], percent)
+                        pass_ = np.minimum(sa[k], sb[at]).sum(1) >= need
+                        pass_[pass_] = np.minimum(ca[k], cb[at[pass_]]).sum(1) >= need[pass_]
+                        ok[row, columns[at]] = pass_
+        left, right, ok = _with_pairs(left, right, ok)
+        if ok.sum() <= PAIRS * (len(left) + len(right)):
+            ids, (x, y) = pdf["doc_id"].to_numpy(), np.nonzero(ok)
+            both = np.stack((ids[left[x]], ids[right[y]]))
+            out = pd.DataFrame({c: np.zeros(len(x), np.int64) for c in _ROW} | {"a": both.min(0), "b": both.max(0), "pair": True})
+            return out.assign(tried=pd.Series([np.zeros(0, np.int64)] * len(x), dtype=object))
+        return pdf.iloc[np.union1d(left, right)][list(_ROW)].assign(a=0, b=0, pair=False)
 
     return run
 
@@ -327,6 +365,7 @@ class _Join:
         largest component (``major``) are not compared with each other: they are spread over blocks of
         their own, and only the others' blocks are compared with all.
         """
+        none = F.array().cast("array<long>")
         own = tried.groupBy("doc_id").agg(F.collect_set("hub").alias("tried"))
         is_major = F.col("comp") == F.col("major")
         weight = F.greatest(F.lit(1.0 / BLOCK), F.col("shingles") / F.col("c") / BLOCK_SHINGLES)
@@ -336,15 +375,20 @@ class _Join:
         spread = F.when(is_major, F.col("few") + F.pmod(F.xxhash64("doc_id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("few")))
         with_ = F.when(is_major, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
         rows = rows.select("token", "doc_id", "n", "pos", "comp", spread.cast("int").alias("block"), with_.alias("with"))
-        rows = rows.join(self.profile.select("doc_id", "classes"), "doc_id").join(own, "doc_id", "left")
+        rows = rows.join(self.profile.select("doc_id", "classes"), "doc_id").join(own, "doc_id", "left").withColumn("tried", F.coalesce("tried", none))
         rows = rows.withColumn("other", F.explode("with")).drop("with")
         rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-        # Sets are only sent for documents that have a pair left.
-        rows = staged(rows.groupBy("token", "i", "j").applyInPandas(_block_rows(self.percent), ", ".join(f"{k} {v}" for k, v in _ROW.items())), "block-rows")
+        found = staged(rows.groupBy("token", "i", "j").applyInPandas(_block_rows(self.percent), ", ".join(f"{k} {v}" for k, v in _ROW.items()) + ", a long, b long, pair boolean"), "block-rows")
+        few = staged(found.where("pair").select("a", "b").distinct(), "few-pairs")
+        links = self.verified(few)
+        # Where many pairs are left, sets are sent to the blocks; pairs that came one by one count as tried there.
+        rows = found.where("not pair").drop("a", "b", "pair")
+        own = few.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("b").alias("more"))
+        rows = rows.join(own, "doc_id", "left").withColumn("tried", F.concat("tried", F.coalesce("more", none))).drop("more")
         sets = self.sets(rows.select("doc_id").distinct(), self.sketch)
-        links = staged(rows.join(sets, "doc_id").groupBy("token", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "block-links")
-        unstage(sets, rows)
-        return links
+        more = staged(rows.join(sets, "doc_id").groupBy("token", "i", "j").applyInPandas(_block_links(self.percent), "a long, b long"), "block-links")
+        unstage(sets, few, found)
+        return links.union(more)
 
 
 def _size(at: str):

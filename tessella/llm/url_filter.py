@@ -42,12 +42,10 @@ class Level:
     seed: int
 
     def holds(self, key: Column) -> Column:
-        # One text literal that the optimizer folds to an array: many words stay a small expression.
+        # One text literal that the optimizer folds to an array, for all places of the key: a plan holds a level's bits once.
         bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        found = F.lit(True)
-        for place in _places(key, self.seed, self.hashes, 64 * len(self.words)):
-            found = found & (F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1)
-        return found
+        places = F.array(*_places(key, self.seed, self.hashes, 64 * len(self.words)))
+        return F.forall(places, lambda p: F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1)
 
 
 def _places(key: Column, seed: int, hashes: int, bits: int) -> list[Column]:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.operators.pointwise import NodeError
 
@@ -122,6 +124,35 @@ def _slots(order: list[str], edges: list[tuple[str, str]], sizes: dict[str, int]
     return slot, sum(max(sizes[n] for n in order if slot[n] == k) for k in set(slot.values()))
 
 
+def plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Order and live ranges of many graphs kept as tables: ``graph, id, place, stop, slot``.
+
+    ``nodes(graph, id)`` and ``edges(graph, a, b)``, with ids of one type that sort in the order in which nodes were added. A
+    node's result is alive from its ``place`` until before ``stop``; results of one slot are never alive together. A graph
+    is a group of a few rows, planned in one task with many others.
+    """
+    rows = nodes.select("graph", "id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("to")).union(edges.select("graph", "a", "b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(pdf.loc[pdf["to"].isna(), "id"])
+        links = [(a, type(a)(b)) for a, b in pdf.loc[pdf["to"].notna(), ["id", "to"]].itertuples(index=False)]
+        order = toposort(own, sorted(links))
+        slots, _ = _slots(order, links, dict.fromkeys(own, 1))
+        place = {n: k for k, n in enumerate(order)}
+        stop = {n: max([place[b] for a, b in links if a == n], default=place[n]) + 1 for n in order}
+        return pd.DataFrame({"graph": pdf["graph"].iloc[0], "id": order, "place": range(len(order)), "stop": [stop[n] for n in order], "slot": [slots[n] for n in order]})
+
+    kinds_ = dict(nodes.dtypes)
+    return rows.groupBy("graph").applyInPandas(run, f"graph {kinds_['graph']}, id {kinds_['id']}, place int, stop int, slot int")
+
+
+def interference(planned: DataFrame) -> DataFrame:
+    """Pairs of results of a graph that are alive together: ``graph, one, other``."""
+    a, b = (planned.select("graph", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "place", "stop")]) for x in "ab")
+    overlap = (F.col("place_a") < F.col("place_b")) & (F.col("place_b") < F.col("stop_a"))
+    return a.join(b, "graph").where(overlap).select("graph", F.col("id_a").alias("one"), F.col("id_b").alias("other"))
+
+
 def load(text: str, cap_bytes: int | None = None) -> Plan:
     """Checks a graph: version, nodes, parameters, edges, order, steps, colour roles, precisions and memory."""
     doc = json.loads(text)

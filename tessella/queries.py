@@ -11,7 +11,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import pixel as P
@@ -812,35 +812,34 @@ def ext_blobs(spark, d):
     return rows.select("event_id", F.array_join(named, ",").alias("keys"), B.get(F.col("blobs"), F.col("event_type")).cast("string").alias("own"))
 
 
-_ORDER = ", ".join(f"({k}, 'n{k:02d}', '{t}')" for k, t in enumerate(STAGES))
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a graph of its lines: each feeds the next, and the one after it too if its part has an even key."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))  # numbers of lines repeat
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("graph"), place.alias("id"), (F.col("l_partkey") % 2 == 0).alias("even"))
+    nodes = lines.select("graph", "id")
+    far = lines.select("graph", "id", F.explode(F.when(F.col("even"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("step"))
+    edges = far.select("graph", F.col("id").alias("a"), (F.col("id") + F.col("step")).alias("b"))
+    edges = edges.join(nodes.select("graph", F.col("id").alias("b")), ["graph", "b"], "left_semi").select("graph", "a", "b")
+    return G.plans(nodes, edges)
 
 
-@query(f"SELECT CAST(place AS INTEGER) AS place, id, kind FROM (VALUES {_ORDER}) t(place, id, kind)")
-def plan_toposort(spark, d):
-    plan = G.load(chain(STAGES))
-    return spark.createDataFrame([(k, n, plan.nodes[n]["type"]) for k, n in enumerate(plan.order)], "place int, id string, kind string")
-
-
-def _alive(spark: SparkSession) -> DataFrame:
-    plan = G.load(chain(STAGES))
-    place = {n: k for k, n in enumerate(plan.order)}
-    end = {n: max([place[b] for a, b in plan.edges if a == n], default=place[n]) + 1 for n in plan.order}
-    return spark.createDataFrame([(n, place[n], end[n], plan.slots[n]) for n in plan.order], "id string, start int, stop int, slot int")
+_PLANS = """WITH n AS (SELECT l_orderkey AS graph, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS id, l_partkey % 2 = 0 AS even, count(*) OVER (PARTITION BY l_orderkey) AS top FROM lineitem),
+p AS (SELECT graph, CAST(id AS INTEGER) AS id, CAST(id - 1 AS INTEGER) AS place, CAST(id - 1 + CASE WHEN even AND id + 2 <= top THEN 3 WHEN id + 1 <= top THEN 2 ELSE 1 END AS INTEGER) AS stop FROM n)"""
 
 
-_ALIVE = "WITH r AS (SELECT printf('n%02d', i) AS id, CAST(i AS INTEGER) AS start, CAST(least(i + 2, 10) AS INTEGER) AS stop, i % 2 AS slot FROM range(10) t(i))"
+@query(f"{_PLANS} SELECT graph, id, place, stop FROM p")
+def plan_toposort(spark, d):
+    return _orders(spark, d).select("graph", "id", "place", "stop")
 
 
-@query(f"{_ALIVE} SELECT a.id AS one, b.id AS other FROM r a JOIN r b ON a.start < b.stop AND b.start < a.stop AND a.id < b.id")
+@query(f"{_PLANS} SELECT a.graph, a.id AS one, b.id AS other FROM p a JOIN p b ON a.graph = b.graph AND a.place < b.place AND b.place < a.stop")
 def plan_interference(spark, d):
-    a, b = (_alive(spark).select(*[F.col(c).alias(f"{c}{x}") for c in ("id", "start", "stop")]) for x in "ab")
-    overlap = (F.col("starta") < F.col("stopb")) & (F.col("startb") < F.col("stopa")) & (F.col("ida") < F.col("idb"))
-    return a.join(b, overlap).select(F.col("ida").alias("one"), F.col("idb").alias("other"))
+    return G.interference(_orders(spark, d))
 
 
-@query(f"{_ALIVE} SELECT CAST(slot AS INTEGER) AS slot, count(*) AS buffers FROM r GROUP BY slot")
+@query(f"{_PLANS} SELECT graph, CAST(max(c) AS INTEGER) AS slots FROM (SELECT b.graph, b.place, count(*) AS c FROM p a JOIN p b ON a.graph = b.graph AND a.place <= b.place AND b.place < a.stop GROUP BY b.graph, b.place) GROUP BY graph")
 def plan_memory(spark, d):
-    return _alive(spark).groupBy("slot").agg(F.count(F.lit(1)).alias("buffers"))
+    return _orders(spark, d).groupBy("graph").agg((F.max("slot") + 1).cast("int").alias("slots"))
 
 
 # Events.
@@ -882,3 +881,55 @@ def ev_fanout(spark, d):
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item) AS INTEGER) AS rank FROM l) SELECT user_id, item, ts, rank FROM r WHERE rank <= 10""")
 def recent_top10(spark, d):
     return E.recent(events(spark, d).withColumn("item", F.col("event_id") % 40), "user_id", "item")
+
+
+_CONTROL = "CASE event_type WHEN 'signup' THEN 'unsubscribe' WHEN 'view' THEN 'subscribe' WHEN 'click' THEN 'subscribe' ELSE event_type END"
+
+
+@query(f"""WITH c AS (SELECT user_id AS client, {_CONTROL} AS kind, ts, event_id, event_type FROM events), l AS (SELECT client, arg_max(struct_pack(k := kind, e := event_id, p := event_type), (ts, event_id)) AS c FROM c WHERE kind IN ('subscribe', 'unsubscribe') GROUP BY client)
+SELECT client, c.e % 7 AS node_id, c.p AS port, least(greatest(c.e % 400, 1), 256) AS max_size, least(greatest(c.e % 90, 1), 60) AS fps FROM l WHERE c.k = 'subscribe'""")
+def ev_subscriptions(spark, d):
+    return E.subscriptions(_controls(spark, d))
+
+
+def _controls(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return events(spark, d).select(F.col("user_id").alias("client"), "ts", "event_id", F.expr(_CONTROL).alias("kind"), (e % 7).alias("node_id"), F.col("event_type").alias("port"), (e % 400).alias("max_size"), (e % 90).alias("fps"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o), b AS (SELECT user_id, max(ts) AS last_ts FROM g GROUP BY user_id, k)
+SELECT user_id, last_ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_ts) AS BIGINT) AS run_id, 'completed' AS status FROM b""")
+def ev_runs(spark, d):
+    return E.runs(E.debounce(events(spark, d), ["user_id"], "6 hours"), "user_id").select("user_id", "last_ts", "run_id", "status")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, ts, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pipeline_id FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, pipeline_id ORDER BY ts, event_id) - 1 AS number FROM a WHERE pipeline_id IS NOT NULL)
+SELECT user_id, event_id, pipeline_id, CAST(number AS BIGINT) AS number FROM n WHERE event_type <> 'signup'""")
+def ev_active(spark, d):
+    return E.active(events(spark, d), "user_id", F.col("event_type") == "signup").select("user_id", "event_id", "pipeline_id", "number")
+
+
+@query(f"""WITH c AS (SELECT user_id AS client, arg_max({_CONTROL}, (ts, event_id)) AS kind FROM events WHERE {_CONTROL} IN ('subscribe', 'unsubscribe') GROUP BY user_id)
+SELECT e.event_id, c.client FROM events e JOIN c ON c.client % 50 = e.user_id % 50 WHERE e.event_type = 'error' AND c.kind = 'subscribe'""")
+def ev_broadcast(spark, d):
+    frames = events(spark, d).where("event_type = 'error'").select("event_id", (F.col("user_id") % 50).alias("session"))
+    clients = E.subscriptions(_controls(spark, d)).select("client", (F.col("client") % 50).alias("session"))
+    return E.broadcast(frames, clients, "session").select("event_id", "client")
+
+
+@query("""WITH c AS (SELECT user_id, min(ts) + INTERVAL 7 DAY AS expires_at FROM events WHERE event_type = 'view' GROUP BY user_id)
+SELECT e.event_id, CASE WHEN coalesce(c.expires_at > e.ts, false) OR e.event_type <> 'error' THEN 'ready' WHEN c.expires_at IS NOT NULL THEN 'stale' ELSE 'error' END AS status, coalesce(c.expires_at > e.ts, false) AS from_cache
+FROM events e LEFT JOIN c USING (user_id)""")
+def ev_schema_cache(spark, d):
+    entries = events(spark, d).where("event_type = 'view'").groupBy("user_id").agg((F.min("ts") + F.expr("interval 7 days")).alias("expires_at"))
+    requests = events(spark, d).select("event_id", "user_id", F.col("ts").alias("now"), (F.col("event_type") != "error").alias("reachable"))
+    return E.cached(requests, entries, "user_id").select("event_id", "status", "from_cache")
+
+
+@query("""SELECT event_id, printf('%02X%08X%08X%08X', event_id % 5, user_id, epoch_ms(ts) % 4294967296, strlen(props)) || hex(encode(props)) AS frame, CAST(user_id AS BIGINT) AS node, epoch_ms(ts) % 4294967296 AS ts_ms, props AS payload FROM events""")
+def ev_frames(spark, d):
+    frame = E.frames(F.col("event_id") % 5, F.col("user_id"), F.unix_millis("ts"), F.col("props").cast("binary"))
+    rows = events(spark, d).withColumn("f", frame).withColumn("p", E.parsed_frames(F.col("f")))
+    return rows.select("event_id", F.hex("f").alias("frame"), "p.node", "p.ts_ms", F.col("p.payload").cast("string").alias("payload"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def debounce(events: DataFrame, keys: list[str], gap: str, watermark: str | None = None) -> DataFrame:
@@ -42,15 +41,24 @@ def _keep(ms: list[int], gap: int, last: int | None) -> tuple[list[bool], int |
 def throttle(events: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
     """Drops an event if less than ``gap_ms`` (whole ms) have gone by since its key's last kept one.
 
-    Which events stay depends on all before them, so each key is one sorted pass over times alone.
+    Which events stay depends on all before them, so a key's events pass through one task in order, which remembers the
+    last kept time and nothing else: its memory does not grow with the key.
     """
-    schema = StructType(events.schema.fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        return pdf[_keep((pdf["ts"].astype("int64") // _unit(pdf["ts"])).tolist(), gap_ms, None)[0]]
+    def run(parts):
+        key, last = None, None
+        for pdf in parts:
+            times = (pdf["ts"].astype("int64") // _unit(pdf["ts"])).tolist()
+            keep = []
+            for k, t in zip(pdf["_key"], times, strict=True):
+                if k != key:
+                    key, last = k, None
+                keep.append(last is None or t - last >= gap_ms)
+                last = t if keep[-1] else last
+            yield pdf[keep].drop(columns="_key")
 
-    return events.groupBy(*keys).applyInPandas(run, schema)
+    rows = events.withColumn("_key", F.to_json(F.struct(*keys)))
+    return rows.repartition("_key").sortWithinPartitions("_key", "ts", "event_id").mapInPandas(run, events.schema)
 
 
 def _unit(ts: pd.Series) -> int:
@@ -86,6 +94,68 @@ def recent(saves: DataFrame, owner: str, item: str, keep: int = 10) -> DataFrame
     return last.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
+def subscriptions(controls: DataFrame) -> DataFrame:
+    """Who is subscribed after ``controls(client, ts, event_id, kind, node_id, port, max_size, fps)``.
+
+    A client has one subscription, its last ``subscribe``, unless an ``unsubscribe`` came after it; controls of other
+    kinds change nothing. Sizes are held to 1 to 256 (256 if absent), rates to 1 to 60 (5 if absent).
+    """
+    own = ("node_id", "port", "max_size", "fps")
+    last = controls.where(F.col("kind").isin("subscribe", "unsubscribe")).groupBy("client").agg(F.max_by(F.struct("kind", *own), F.struct("ts", "event_id")).alias("c"))
+    held = lambda c, most, default: F.least(F.greatest(F.coalesce(F.col(f"c.{c}"), F.lit(default)), F.lit(1)), F.lit(most)).cast("long").alias(c)
+    return last.where("c.kind = 'subscribe'").select("client", "c.node_id", "c.port", held("max_size", 256, 256), held("fps", 60, 5))
+
+
+def runs(bursts: DataFrame, session: str) -> DataFrame:
+    """``bursts(session, last_ts)`` with the number of the run that each starts: 1, 2, ... within its session."""
+    order = Window.partitionBy(session).orderBy("last_ts")
+    return bursts.withColumn("run_id", F.row_number().over(order).cast("long")).withColumn("status", F.lit("completed"))
+
+
+def active(events: DataFrame, session: str, is_replace: Column) -> DataFrame:
+    """The events other than replacements, each with the replacement before it (``pipeline_id``) and its number since.
+
+    Numbers start anew with each replacement. Events before a session's first one have nothing to act on: they are left out.
+    """
+    order = Window.partitionBy(session).orderBy("ts", "event_id")
+    rows = events.withColumn("_new", is_replace)
+    rows = rows.withColumn("pipeline_id", F.last(F.when(F.col("_new"), F.col("event_id")), True).over(order))
+    since = Window.partitionBy(session, "pipeline_id").orderBy("ts", "event_id")
+    rows = rows.where("pipeline_id is not null").withColumn("number", (F.row_number().over(since) - 1).cast("long"))
+    return rows.where("not _new").drop("_new")
+
+
+def broadcast(frames: DataFrame, clients: DataFrame, session: str) -> DataFrame:
+    """Each frame once for every client of its session."""
+    return frames.join(clients, session)
+
+
+def cached(requests: DataFrame, entries: DataFrame, host: str) -> DataFrame:
+    """``requests(host, now, reachable)`` with a ``status`` by ``entries(host, expires_at)``.
+
+    ``ready`` from the cache while it has not expired, or else when the host can be reached; ``stale`` if only an expired
+    entry is there; ``error`` if nothing is.
+    """
+    out = requests.join(entries, host, "left")
+    fresh = F.coalesce(F.col("expires_at") > F.col("now"), F.lit(False))
+    status = F.when(fresh | F.col("reachable"), "ready").when(F.col("expires_at").isNotNull(), "stale").otherwise("error")
+    return out.withColumns({"status": status, "from_cache": fresh})
+
+
+def frames(kind: Column, node: Column, ts_ms: Column, payload: Column) -> Column:
+    """Frames as bytes: kind in one byte, node, time (its low 32 bits) and length in four each, then the payload."""
+    word = lambda v, digits: F.unhex(F.lpad(F.hex(v.cast("long").bitwiseAND(F.lit((1 << 4 * digits) - 1))), digits, "0"))
+    return F.concat(word(kind, 2), word(node, 8), word(ts_ms, 8), word(F.octet_length(payload), 8), payload)
+
+
+def parsed_frames(frame: Column) -> Column:
+    """``kind, node, ts_ms, payload`` of a frame, or null if its length is not exactly what it says."""
+    number = lambda at, size: F.conv(F.hex(F.substring(frame, at, size)), 16, 10).cast("long")
+    size = F.octet_length(frame)
+    good = (size >= 13) & (number(10, 4) == size - 13)
+    return F.when(good, F.struct(number(1, 1).alias("kind"), number(2, 4).alias("node"), number(6, 4).alias("ts_ms"), F.substring(frame, 14, 1 << 30).alias("payload")))
+
+
 _HEAD = struct.Struct(">BIII")
 
 

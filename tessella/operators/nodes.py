@@ -386,10 +386,8 @@ def _paired(frames: list[Frame], kernel: Callable[[list[np.ndarray]], np.ndarray
     # One list of all planes, so that a tile of the pair is a tile again.
     tiles = joined.select(*keys, F.concat(*[f"p{k}" for k in range(len(frames))]).alias("planes"), "meta").select(*first.columns)
 
-    def run(p, *_):
-        return kernel(list(np.split(p, len(frames))))
-
-    return replace(frames[0], tiles=tiles).each(run)
+    count = len(frames)
+    return replace(frames[0], tiles=tiles).each(lambda p, *_: kernel(list(np.split(p, count))))
 
 
 def mertens(under: Frame, normal: Frame, over: Frame, params: dict) -> Frame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,21 +129,39 @@ def plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes(graph, id)`` and ``edges(graph, a, b)``, with ids of one type that sort in the order in which nodes were added. A
     node's result is alive from its ``place`` until before ``stop``; results of one slot are never alive together. A graph
-    is a group of a few rows, planned in one task with many others.
+    is a few rows, planned in one task with many others.
     """
     rows = nodes.select("graph", "id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("to")).union(edges.select("graph", "a", "b"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(pdf.loc[pdf["to"].isna(), "id"])
-        links = [(a, type(a)(b)) for a, b in pdf.loc[pdf["to"].notna(), ["id", "to"]].itertuples(index=False)]
-        order = toposort(own, sorted(links))
+    def planned(graph, rows: list[tuple]) -> list[tuple]:
+        own, links = sorted(a for a, b in rows if b is None), sorted((a, b) for a, b in rows if b is not None)
+        order = toposort(own, links)
         slots, _ = _slots(order, links, dict.fromkeys(own, 1))
         place = {n: k for k, n in enumerate(order)}
-        stop = {n: max([place[b] for a, b in links if a == n], default=place[n]) + 1 for n in order}
-        return pd.DataFrame({"graph": pdf["graph"].iloc[0], "id": order, "place": range(len(order)), "stop": [stop[n] for n in order], "slot": [slots[n] for n in order]})
-
-    kinds_ = dict(nodes.dtypes)
-    return rows.groupBy("graph").applyInPandas(run, f"graph {kinds_['graph']}, id {kinds_['id']}, place int, stop int, slot int")
+        stop = {n: place[n] + 1 for n in order}
+        for a, b in links:
+            stop[a] = max(stop[a], place[b] + 1)
+        return [(graph, n, place[n], stop[n], slots[n]) for n in order]
+
+    def run(batches):
+        """Graphs of one sorted partition; a graph's rows may reach from one batch into the next."""
+        graph, waiting, names = None, [], ["graph", "id", "place", "stop", "slot"]
+        for batch in batches:
+            out = []
+            for g, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and g != graph:
+                    out += planned(graph, waiting)
+                    waiting = []
+                graph = g
+                waiting.append((a, b))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.int32(), pa.int32()], strict=True)], names=names)
+            types = [batch.schema.field(0).type, batch.schema.field(1).type]
+        if waiting:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*planned(graph, waiting), strict=True), [*types, pa.int32(), pa.int32(), pa.int32()], strict=True)], names=names)
+
+    kind = dict(nodes.dtypes)
+    return rows.repartition("graph").sortWithinPartitions("graph").mapInArrow(run, f"graph {kind['graph']}, id {kind['id']}, place int, stop int, slot int")
 
 
 def interference(planned: DataFrame) -> DataFrame:

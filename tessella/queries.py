@@ -928,8 +928,8 @@ def ev_schema_cache(spark, d):
     return E.cached(requests, entries, "user_id").select("event_id", "status", "from_cache")
 
 
-@query("""SELECT event_id, printf('%02X%08X%08X%08X', event_id % 5, user_id, epoch_ms(ts) % 4294967296, strlen(props)) || hex(encode(props)) AS frame, CAST(user_id AS BIGINT) AS node, epoch_ms(ts) % 4294967296 AS ts_ms, props AS payload FROM events""")
+@query("""SELECT event_id, printf('%02X%08X%08X%08X', event_id % 5, user_id, event_id * 86400000 % 4294967296, strlen(props)) || hex(encode(props)) AS frame, CAST(user_id AS BIGINT) AS node, event_id * 86400000 % 4294967296 AS ts_ms, props AS payload FROM events""")
 def ev_frames(spark, d):
-    frame = E.frames(F.col("event_id") % 5, F.col("user_id"), F.unix_millis("ts"), F.col("props").cast("binary"))
+    frame = E.frames(F.col("event_id") % 5, F.col("user_id"), F.col("event_id") * 86_400_000, F.col("props").cast("binary"))
     rows = events(spark, d).withColumn("f", frame).withColumn("p", E.parsed_frames(F.col("f")))
     return rows.select("event_id", F.hex("f").alias("frame"), "p.node", "p.ts_ms", F.col("p.payload").cast("string").alias("payload"))

@@ -26,8 +26,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _only(keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose key is in ``kept``, without the key."""
-    return keyed.join(kept.select(_ROW), _ROW, "left_semi").drop(_ROW)
+    """The rows of ``keyed`` whose key is in ``kept``, without the key; a merge join, as the keys grow with the rows."""
+    return keyed.join(kept.select(_ROW).hint("merge"), _ROW, "left_semi").drop(_ROW)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

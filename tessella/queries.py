@@ -866,7 +866,8 @@ UNION ALL SELECT k.user_id, n.ms FROM k, LATERAL (SELECT min(epoch_ms(e.ts)) AS
 r AS (SELECT e.event_id, e.user_id, e.ts, row_number() OVER (PARTITION BY e.user_id, epoch_ms(e.ts) ORDER BY e.ts, e.event_id) AS n, epoch_ms(e.ts) AS ms FROM events e)
 SELECT r.event_id, r.user_id, r.ts FROM r JOIN k ON k.user_id = r.user_id AND k.ms = r.ms WHERE r.n = 1""")
 def ev_throttle(spark, d):
-    return E.throttle(events(spark, d).select("event_id", "user_id", "ts"), ["user_id"], 7_200_000)
+    rows = events(spark, d).select("event_id", "user_id", "ts").where("user_id is not null")  # as in SQL, where null equals nothing
+    return E.throttle(rows, ["user_id"], 7_200_000)
 
 
 @query("""SELECT CAST(user_id % 7 AS BIGINT) AS node_id, event_type AS port, count(*) AS subscribers, CAST(CASE WHEN count(*) > 4 THEN 2 ELSE max(1 + event_id % 60) END AS BIGINT) AS fps, CAST(max(1 + event_id % 256) AS BIGINT) AS size

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +43,26 @@ def throttle(events: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
     """Drops an event if less than ``gap_ms`` (whole ms) have gone by since its key's last kept one.
 
     Which events stay depends on all before them, so a key's events pass through one task in order, which remembers the
-    last kept time and nothing else: its memory does not grow with the key.
+    last kept time and nothing else: its memory does not grow with the key. An event without a time is not kept; times are
+    counted in UTC, so a session's time zone changes nothing.
     """
 
-    def run(parts):
+    def run(batches):
         key, last = None, None
-        for pdf in parts:
-            times = (pdf["ts"].astype("int64") // _unit(pdf["ts"])).tolist()
+        for batch in batches:
             keep = []
-            for k, t in zip(pdf["_key"], times, strict=True):
+            times = batch.column(names.index("ts")).cast(pa.int64()).to_pylist()  # microseconds
+            for k, us in zip(batch.column(len(names)).to_pylist(), times, strict=True):
                 if k != key:
                     key, last = k, None
-                keep.append(last is None or t - last >= gap_ms)
+                t = None if us is None else us // 1000
+                keep.append(t is not None and (last is None or t - last >= gap_ms))
                 last = t if keep[-1] else last
-            yield pdf[keep].drop(columns="_key")
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
+    names = events.columns
     rows = events.withColumn("_key", F.to_json(F.struct(*keys)))
-    return rows.repartition("_key").sortWithinPartitions("_key", "ts", "event_id").mapInPandas(run, events.schema)
+    return rows.repartition("_key").sortWithinPartitions("_key", "ts", "event_id").mapInArrow(run, events.schema)
 
 
 def _unit(ts: pd.Series) -> int:

@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import queries as Q
 from tessella.streaming import events as E
 
 START = dt.datetime(2024, 1, 1)
@@ -34,6 +36,22 @@ def test_throttle_of_a_hot_key(spark):
     assert E.throttle(df.limit(0), ["user_id"], 50).count() == 0
 
 
+def test_throttle_query_with_nulls_and_clock_changes(spark, tmp_path):
+    """Rows without a user or a time, and an hour that comes twice in the session's zone: the same as SQL."""
+    at = lambda m: dt.datetime(2024, 11, 3, 4) + dt.timedelta(minutes=m)
+    own = [(k, None if k % 11 == 0 else at(13 * k), None if k % 7 == 0 else k % 3) for k in range(120)]
+    spark.createDataFrame(own, "event_id long, ts timestamp, user_id long").write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT event_id, ts::TIMESTAMP AS ts, user_id FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(r[0] for r in con.execute(Q.ORACLE["ev_throttle"]).fetchall())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted(r.event_id for r in Q.ev_throttle(spark, str(tmp_path)).select("event_id").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want
+
+
 def test_throttle_as_a_stream(spark, tmp_path):
     own = sorted(rows(200, [1, 2, 3]), key=lambda r: r[1])
     spark.createDataFrame(own, SCHEMA).coalesce(1).write.parquet(f"file://{tmp_path}/in")

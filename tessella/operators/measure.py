@@ -142,7 +142,10 @@ def ycbcr420(display: DataFrame, hdr: bool = False) -> tuple[DataFrame, DataFram
     px = px.withColumns({"cb": (F.col("b") - F.col("l")) / (2 * (1 - w[2])), "cr": (F.col("r") - F.col("l")) / (2 * (1 - w[0]))})
     block = [F.floor(F.col(c) / 2).cast("int").alias(f"c{c}") for c in "yx"]
     mid = (top + 1) // 2
-    chroma = px.select("image_id", *block, "cb", "cr").groupBy("image_id", "cy", "cx").agg(F.avg("cb").alias("cb"), F.avg("cr").alias("cr"))
+    # The places of a block are added in order, whatever the order of rows: a mean between two codes may fall either way.
+    place = F.col("y") % 2 * 2 + F.col("x") % 2
+    mean = lambda c: sum(F.coalesce(F.sum(F.when(F.col("place") == k, F.col(c))), F.lit(0.0)) for k in range(4)) / F.count(c)
+    chroma = px.select("image_id", *block, place.alias("place"), "cb", "cr").groupBy("image_id", "cy", "cx").agg(mean("cb").alias("cb"), mean("cr").alias("cr"))
     code = lambda c: F.greatest(F.lit(0), F.least(F.lit(top), F.floor(F.col(c) * top + mid + 0.5))).cast("int").alias(c)
     return px.select("image_id", "y", "x", P.quantise(F.col("l"), top).alias("luma")), chroma.select("image_id", "cy", "cx", code("cb"), code("cr"))
 

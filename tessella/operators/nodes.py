@@ -43,15 +43,27 @@ class Frame:
     """Images on their way through a graph: their ``tiles``, and the table ``images(image_id, height, width, meta)``.
 
     ``meta`` is JSON with the image's calibration and capture fields, as in ``dng.SCHEMA``; tiles have it too. ``split``
-    is the size of the tiles where some image has more than one, else 0.
+    is the size of the tiles where some image has more than one, else 0. Kernels that need no exchange wait in ``steps``,
+    to be run in one pass by one worker a task, whatever the length of the graph.
     """
 
-    tiles: DataFrame
+    source: DataFrame
     images: DataFrame
     split: int = 0
+    steps: S.Steps = ()
+
+    @property
+    def tiles(self) -> DataFrame:
+        return S.chain(self.source, self.steps) if self.steps else self.source
 
     def each(self, kernel: S.Kernel, radius: int = 0) -> Frame:
-        return replace(self, tiles=S.stencil(self.tiles, kernel, radius, self.split))
+        if radius and self.split:
+            return self.of(S.stencil(self.source, kernel, radius, self.split, self.steps))
+        return replace(self, steps=(*self.steps, (kernel, radius)))
+
+    def of(self, tiles: DataFrame) -> Frame:
+        """The same images with other tiles."""
+        return replace(self, source=tiles, steps=())
 
 
 def raw_frame(images: DataFrame, planes: Column, height: int, width: int) -> Frame:
@@ -65,7 +77,8 @@ def dng_frame(files: DataFrame, size: int = TILE) -> Frame:
     images = dng.headers(files)
     images = images.select("image_id", "height", "width", meta_json(images).alias("meta"))
     several = images.where((F.col("height") > size) | (F.col("width") > size)).limit(1).count()
-    return Frame(dng.tiles(files, images, size, F.col("meta")), images, size if several else 0)
+    tiles = dng.tiles(files, size)
+    return Frame(tiles.select(*[c for c in S.COLUMNS if c != "meta"], meta_json(tiles).alias("meta")), images, size if several else 0)
 
 
 def dng_input(source: object, params: dict) -> Frame:
@@ -253,10 +266,10 @@ def _opcode(frame: Frame, k: int, kinds: set[int]) -> Frame:
         def warp(row, canvas, y, x):
             op, ys, xs = own(row.meta), np.arange(row.y0, row.y0 + row.h), np.arange(row.x0, row.x0 + row.w)
             if op["id"] != 1:
-                return canvas[:, None, ys - y][..., xs - x]
-            return f16(S.Warp(op["coefficients"], op["cx"], op["cy"]).sampled(canvas[:, None], y, x, ys, xs, row.height, row.width))
+                return canvas[..., ys - y, :][..., xs - x]
+            return f16(S.Warp(op["coefficients"], op["cx"], op["cy"]).sampled(canvas, y, x, ys, xs, row.height, row.width))
 
-        frame = replace(frame, tiles=S.gather(frame.tiles, frame.images, split, reach, warp))
+        frame = frame.of(S.gather(frame.source, split, reach, warp, frame.steps))
         kinds = kinds - {1}
 
     halo = 1 if kinds & {4, 5} else 0
@@ -320,7 +333,7 @@ def grey_world(frame: Frame, params: dict) -> Frame:
 
     new = F.pandas_udf(said, "string")
     tiles = frame.tiles.join(neutral, "image_id").withColumn("meta", new("meta", "nr", "ng", "nb")).select(*frame.tiles.columns)
-    return white_balance(replace(frame, tiles=tiles), params)
+    return white_balance(frame.of(tiles), params)
 
 
 def color_matrix(frame: Frame, params: dict) -> Frame:
@@ -387,7 +400,7 @@ def _paired(frames: list[Frame], kernel: Callable[[list[np.ndarray]], np.ndarray
     tiles = joined.select(*keys, F.concat(*[f"p{k}" for k in range(len(frames))]).alias("planes"), "meta").select(*first.columns)
 
     count = len(frames)
-    return replace(frames[0], tiles=tiles).each(lambda p, *_: kernel(list(np.split(p, count))))
+    return frames[0].of(tiles).each(lambda p, *_: kernel(list(np.split(p, count))))
 
 
 def mertens(under: Frame, normal: Frame, over: Frame, params: dict) -> Frame:
@@ -412,8 +425,8 @@ def lut3d(frame: Frame, params: dict) -> Frame:
     """The table of the file ``lut_path``: read once, sent to the tasks once; 256**3 rows at most."""
     if not params.get("lut_path"):
         raise NodeError("NOT_FOUND", "lut_path")
-    size, values = rasters.read_lut(frame.tiles.sparkSession, params["lut_path"])
-    shared = frame.tiles.sparkSession.sparkContext.broadcast(np.asarray(values, float).reshape(size, size, size, 3))
+    size, values = rasters.read_lut(frame.source.sparkSession, params["lut_path"])
+    shared = frame.source.sparkSession.sparkContext.broadcast(np.asarray(values, float).reshape(size, size, size, 3))
     how = params.get("interpolation", "tetrahedral")
     return frame.each(lambda p, *_: f16(np.concatenate((table_lookup(shared.value, p[:3], how), p[3:]))))
 

@@ -291,10 +291,7 @@ def warp_rectilinear(spark, d):
 @query(_warp())
 def warp_rectilinear_tiled(spark, d):
     """The same image in tiles of 4x4, each of which gathers the part that it samples."""
-    px = rgba(spark, d)
-    tiles = S.cut_tiles(px, (*P.RGB, "a"), SIDE, SIDE, 4)
-    images = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(None).cast("string").alias("meta"))
-    return out(S.pixels(S.warp_tiles(tiles, images, 4, WARP), (*P.RGB, "a")), *P.RGB)
+    return out(S.pixels(S.warp_tiles(S.split_tiles(rgba_tiles(spark, d), 4), 4, WARP), (*P.RGB, "a")), *P.RGB)
 
 
 def _table(spark: SparkSession) -> list[float]:
@@ -647,31 +644,40 @@ def dng_files(spark: SparkSession, d: str) -> DataFrame:
     fields = {k: bytes(v) if k == "cfa_pattern" else int(v) if k == "white" else v for k, v in CALIBRATION.items()}
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            content = [dng.encode(np.array(c).reshape(SIDE, SIDE), **fields) for c in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(content, pa.binary())], names=["path", "content"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                content = [dng.encode(c, **fields) for c in part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIDE, SIDE)]
+                yield pa.record_batch([part.column(0), pa.array(content, pa.binary())], names=["path", "content"])
+
+    return codes(spark, d).select(_path().alias("path"), raw8(F.col("codes")).alias("raw")).mapInArrow(run, "path string, content binary")
+
+
+def _path() -> Column:
+    return F.concat(F.col("image_id").cast("string"), F.lit(".dng"))
+
 
-    return codes(spark, d).select(F.concat(F.col("image_id").cast("string"), F.lit(".dng")).alias("path"), raw8(F.col("codes")).alias("raw")).mapInArrow(run, "path string, content binary")
+def graph_tiles(frame: D.Frame, text: str) -> DataFrame:
+    return G.fold(G.load(text), frame, D.RUN, D.convert).tiles
 
 
 def run_graph(frame: D.Frame, text: str) -> DataFrame:
-    return S.pixels(G.fold(G.load(text), frame, D.RUN, D.convert).tiles, (*P.RGB, "a"))
+    return S.pixels(graph_tiles(frame, text), (*P.RGB, "a"))
 
 
-def by_path(px: DataFrame, files: DataFrame) -> DataFrame:
-    """Pixels of files, with the number in the file's name as id."""
-    names = files.select(F.xxhash64("path").alias("image_id"), F.substring_index("path", ".", 1).cast("long").alias("number"))
-    return px.join(names, "image_id").drop("image_id").withColumnRenamed("number", "image_id")
+def by_path(tiles: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of ``dng_files``, with the number in the file's name as id. The names are made again, not the files."""
+    names = codes(spark, d).select(F.xxhash64(_path()).alias("image_id"), F.col("image_id").cast("long").alias("number"))
+    return tiles.join(names, "image_id").select(F.col("number").alias("image_id"), *S.COLUMNS[1:])
 
 
 @query(f"{_PX}{_out({'v': 'floor(v / 64)'}, 'px')}")
 def dng_scan(spark, d):
     """Samples of DNG files, cut into tiles of 4x4 where they are read."""
     files = dng_files(spark, d)
-    return out(by_path(S.pixels(D.dng_frame(files, 4).tiles, ("v",)), files), "v")
+    return out(S.pixels(by_path(D.dng_frame(files, 4).tiles, spark, d), ("v",)), "v")
 
 
 @query(f"""SELECT CAST(vec_id AS BIGINT) AS image_id, 8 AS height, 8 AS width, 2 AS cfa_rows, {len(LINEAR)} AS table_size, CAST(15000 AS DOUBLE) AS white, 17 AS illuminant1, round(0.25, 6) AS blue FROM embeddings""")
@@ -741,7 +747,7 @@ def min_pipeline(spark, d):
 def dng_min_pipeline(spark, d):
     """The same from the bytes of DNG files, in tiles of 4x4 that exchange halos."""
     files = dng_files(spark, d)
-    return out(by_path(run_graph(D.dng_frame(files, 4), chain(MINIMUM)), files), *P.RGB, "a")
+    return out(S.pixels(by_path(graph_tiles(D.dng_frame(files, 4), chain(MINIMUM)), spark, d), (*P.RGB, "a")), *P.RGB, "a")
 
 
 @query(_scene() + _out({c: _q(c, 255) for c in "rgb"} | {"a": "255"}, "a6"))

@@ -5,7 +5,9 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from compare import SF
 from pyspark.sql import functions as F
 
 from tessella import queries as Q
@@ -362,3 +364,73 @@ def test_conversions_run():
     plan = G.load(Q.chain([*Q.MINIMUM[:-1], "builtin.passthrough"]))
     assert [c[2] for c in plan.converts] == ["rgba.u8"]
     assert code(lambda: G.load(Q.chain(["linearize.dng_lut", "builtin.passthrough"]))) == "BAD_PRECISION"
+
+
+# Work and memory of the tasks.
+
+
+def python_steps(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("MapInArrow"), plan.count("MapInPandas"), plan.count("Exchange ")
+
+
+def test_kernels_of_a_graph_share_a_worker(spark):
+    assert python_steps(Q.min_pipeline(spark, SF)) == (1, 0, 0)
+    assert python_steps(Q.full_classic_sdr(spark, SF)) == (1, 0, 0)
+    assert python_steps(Q.graph_conversion(spark, SF)) == (1, 0, 0)
+    assert python_steps(Q.lens_opcodes(spark, SF)) == (1, 0, 0)
+
+
+def test_kernels_get_a_bounded_number_of_pixels():
+    n = 9000
+    shape = {"height": 8, "width": 8, "y0": 0, "x0": 0, "h": 8, "w": 8, "meta": None}
+    batch = S.tile_rows(np.arange(n), shape, np.arange(n * 64.0).reshape(1, n, 8, 8))
+    parts = list(S.stacks(batch))
+    assert max(p.size for _, _, p in parts) <= S.CELLS and (np.concatenate([i for i, _, _ in parts]) == np.arange(n)).all()
+    assert (np.concatenate([p for _, _, p in parts], 1) == np.arange(n * 64.0).reshape(1, n, 8, 8)).all()
+
+
+def test_tiles_are_warped_with_one_shuffle(spark):
+    assert python_steps(Q.warp_rectilinear_tiled(spark, SF)) == (2, 0, 1)
+
+
+def test_files_are_read_once_and_not_shuffled(spark):
+    """Of a scan, one step writes the files and one cuts them; headers are kept in Python for a few files at a time."""
+    assert python_steps(Q.dng_scan(spark, SF))[:2] == (2, 0)
+    assert python_steps(Q.dng_min_pipeline(spark, SF))[:2] == (5, 0)
+    batch = pa.record_batch([pa.array([str(k) for k in range(1000)]), pa.array([b"x"] * 1000)], names=["path", "content"])
+    parts = list(dng._files([batch]))
+    assert max(len(p[0]) for p in parts) <= 256 and sum((p[0] for p in parts), []) == [str(k) for k in range(1000)]
+
+
+def test_tiles_of_images_of_several_sizes(spark):
+    """Tiles of one batch that differ in size, place and what their images say."""
+    rng, rows = np.random.default_rng(3), []
+    sizes = {1: (8, 8), 2: (5, 11), 3: (8, 8), 4: (3, 3), 5: (9, 4)}
+    whole = {k: rng.random((4, *s)) for k, s in sizes.items()}
+    for k, (height, width) in sizes.items():
+        for y in range(0, height, 4):
+            for x in range(0, width, 4):
+                part = whole[k][:, y : y + 4, x : x + 4]
+                rows.append((k, height, width, y, x, *part.shape[1:], [p.ravel().tolist() for p in part], f"of {k % 2}"))
+    tiles = spark.createDataFrame(rows, S.TILES).repartition(3)
+    kernel, radius = S.edge_aware_usm(0.75, 1, 0.0)
+    warp = S.Warp(Q.WARP)
+    for made, want in (
+        (S.stencil(tiles, kernel, radius, 4), lambda p: kernel(np.pad(p[:, None], ((0, 0), (0, 0), (1, 1), (1, 1)), "edge"), -1, -1, *p.shape[1:], None)[:, 0]),
+        (S.warp_tiles(tiles, 4, Q.WARP), lambda p: warp.sampled(p[:, None], 0, 0, np.arange(p.shape[1]), np.arange(p.shape[2]), *p.shape[1:])[:, 0]),
+    ):
+        got = {k: np.zeros_like(p) for k, p in whole.items()}
+        for r in made.collect():
+            assert r.meta == f"of {r.image_id % 2}"
+            got[r.image_id][:, r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w] = np.array(r.planes).reshape(-1, r.h, r.w)
+        assert all(np.allclose(got[k], want(p), atol=1e-12) for k, p in whole.items())
+
+
+def test_chroma_does_not_depend_on_the_order_of_rows(spark):
+    """A block whose mean is right at the middle between two codes when its pixels are added in order."""
+    own = [(1, 0, 0, 479, 466, 411), (1, 0, 1, 453, 452, 448), (1, 1, 0, 442, 446, 459), (1, 1, 1, 431, 441, 467)]
+    rows = [(i, y, x, *[v * 64 for v in c]) for i, y, x, *c in own]
+    for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 3, 0, 1)):
+        px = spark.createDataFrame([rows[k] for k in order], "image_id long, y int, x int, r int, g int, b int").coalesce(1)
+        assert [tuple(r) for r in M.ycbcr420(px, True)[1].collect()] == [(1, 0, 0, 510, 512)]

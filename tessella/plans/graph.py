@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,43 +133,90 @@ def plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is a few rows, planned in one task with many others.
     """
     rows = nodes.select("graph", "id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("to")).union(edges.select("graph", "a", "b"))
-
-    def planned(graph, rows: list[tuple]) -> list[tuple]:
-        own, links = sorted(a for a, b in rows if b is None), sorted((a, b) for a, b in rows if b is not None)
-        order = toposort(own, links)
-        slots, _ = _slots(order, links, dict.fromkeys(own, 1))
-        place = {n: k for k, n in enumerate(order)}
-        stop = {n: place[n] + 1 for n in order}
-        for a, b in links:
+    names, known = ["graph", "id", "place", "stop", "slot"], {}
+
+    def planned(n: int, links: bytes) -> np.ndarray:
+        """Place, stop and slot of the nodes 0 to ``n`` - 1 of a graph; those of small ones are kept, as many are alike."""
+        if (n, links) in known:
+            return known[n, links]
+        own, pairs = list(range(n)), [tuple(p) for p in np.frombuffer(links, np.int64).reshape(-1, 2).tolist()]
+        order = toposort(own, pairs)
+        slots, _ = _slots(order, pairs, dict.fromkeys(own, 1))
+        place = {v: k for k, v in enumerate(order)}
+        stop = {v: place[v] + 1 for v in order}
+        for a, b in pairs:
             stop[a] = max(stop[a], place[b] + 1)
-        return [(graph, n, place[n], stop[n], slots[n]) for n in order]
+        out = np.array([[place[v], stop[v], slots[v]] for v in own], np.int32).reshape(n, 3)
+        if n <= 32 and len(known) < 20_000:
+            known[n, links] = out
+        return out
+
+    def whole(batch: pa.RecordBatch, begins: np.ndarray) -> pa.RecordBatch:
+        """All graphs of a batch; each begins at one of ``begins``, its nodes by id before its edges."""
+        is_edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        graph = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, batch.num_rows)))
+        nodes, at, to = batch.filter(pa.array(~is_edge)), np.flatnonzero(~is_edge), np.flatnonzero(is_edge)
+        owner, counts = graph[at], np.bincount(graph[at], minlength=len(begins))
+        first = np.cumsum(counts) - counts
+        # Ids as numbers in their order, so that a node is a number in the order of its graph and id.
+        ids = pa.chunked_array([batch.column(1), batch.column(2).filter(pa.array(is_edge))]).to_numpy()
+        values, code = np.unique(ids, return_inverse=True)
+        key = owner * len(values) + code[at]
+        ends = np.stack([graph[to] * len(values) + code[to], graph[to] * len(values) + code[batch.num_rows :]])
+        found = np.searchsorted(key, ends)
+        if len(to) and (not len(key) or (key[np.minimum(found, len(key) - 1)] != ends).any()):
+            raise NodeError("BAD_INDEX", "an edge of a node that is not there")
+        rank = np.ascontiguousarray((found - first[graph[to]]).T, dtype=np.int64)
+        links = np.bincount(graph[to], minlength=len(begins))
+        begin = np.cumsum(links) - links
+        out = np.zeros((len(at), 3), np.int32)
+        size = counts * (links.max(initial=0) + 1) + links
+        for s in np.unique(size[counts > 0]):
+            own = np.flatnonzero((size == s) & (counts > 0))
+            n, m = counts[own[0]], links[own[0]]
+            shapes = rank[begin[own][:, None] + np.arange(m)].reshape(len(own), 2 * m) if m else np.zeros((len(own), 1), np.int64)
+            kinds, which = np.unique(shapes, axis=0, return_inverse=True)
+            found = np.stack([planned(int(n), k.tobytes() if m else b"") for k in kinds])
+            out[first[own][:, None] + np.arange(n)] = found[which.reshape(-1)]
+        return pa.record_batch([nodes.column(0), nodes.column(1), *[pa.array(out[:, k]) for k in range(3)]], names=names)
 
     def run(batches):
         """Graphs of one sorted partition; a graph's rows may reach from one batch into the next."""
-        graph, waiting, names = None, [], ["graph", "id", "place", "stop", "slot"]
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            for g, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if waiting and g != graph:
-                    out += planned(graph, waiting)
-                    waiting = []
-                graph = g
-                waiting.append((a, b))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.int32(), pa.int32()], strict=True)], names=names)
-            types = [batch.schema.field(0).type, batch.schema.field(1).type]
+            if not batch.num_rows:
+                continue
+            code = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.append(True, np.diff(code) != 0))
+            if waiting and waiting[-1].column(0)[-1].as_py() == batch.column(0)[0].as_py():
+                waiting.append(batch.slice(0, begins[1] if len(begins) > 1 else batch.num_rows))
+                if len(begins) == 1:
+                    continue
+                begins = begins[1:]
+            if waiting:
+                yield whole(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], np.array([0]))
+            if len(begins) > 1:
+                own = batch.slice(begins[0], begins[-1] - begins[0])
+                yield whole(own.take(pa.array(np.arange(own.num_rows))), begins[:-1] - begins[0])
+            waiting = [batch.slice(begins[-1])]
         if waiting:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*planned(graph, waiting), strict=True), [*types, pa.int32(), pa.int32(), pa.int32()], strict=True)], names=names)
+            yield whole(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], np.array([0]))
 
     kind = dict(nodes.dtypes)
-    return rows.repartition("graph").sortWithinPartitions("graph").mapInArrow(run, f"graph {kind['graph']}, id {kind['id']}, place int, stop int, slot int")
+    ordered = rows.repartition("graph").sortWithinPartitions("graph", F.col("to").isNotNull(), "id", "to")
+    return ordered.mapInArrow(run, f"graph {kind['graph']}, id {kind['id']}, place int, stop int, slot int")
 
 
 def interference(planned: DataFrame) -> DataFrame:
-    """Pairs of results of a graph that are alive together: ``graph, one, other``."""
-    a, b = (planned.select("graph", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "place", "stop")]) for x in "ab")
-    overlap = (F.col("place_a") < F.col("place_b")) & (F.col("place_b") < F.col("stop_a"))
-    return a.join(b, "graph").where(overlap).select("graph", F.col("id_a").alias("one"), F.col("id_b").alias("other"))
+    """Pairs of results of a graph that are alive together: ``graph, one, other``.
+
+    Places have no gaps, so what is alive with a result from its place on are those after it, until its stop: a graph, a
+    few rows as in ``plans``, is put together once, and nothing is planned twice.
+    """
+    own = planned.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("place", "stop", "id"))).alias("p"))
+    after = lambda x: F.slice("p", x["place"] + 2, x["stop"] - x["place"] - 1)
+    pairs = F.flatten(F.transform("p", lambda x: F.transform(after(x), lambda y: F.struct(x["id"].alias("one"), y["id"].alias("other")))))
+    return own.select("graph", F.explode(pairs).alias("pair")).select("graph", "pair.one", "pair.other")
 
 
 def load(text: str, cap_bytes: int | None = None) -> Plan:

@@ -820,12 +820,12 @@ def ext_blobs(spark, d):
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     """Every order as a graph of its lines: each feeds the next, and the one after it too if its part has an even key."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))  # numbers of lines repeat
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("graph"), place.alias("id"), (F.col("l_partkey") % 2 == 0).alias("even"))
+    order = Window.partitionBy("l_orderkey")
+    place = F.row_number().over(order.orderBy("l_linenumber", "l_partkey"))  # numbers of lines repeat
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("graph"), place.alias("id"), (F.col("l_partkey") % 2 == 0).alias("even"), F.count(F.lit(1)).over(order).alias("top"))
     nodes = lines.select("graph", "id")
-    far = lines.select("graph", "id", F.explode(F.when(F.col("even"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("step"))
-    edges = far.select("graph", F.col("id").alias("a"), (F.col("id") + F.col("step")).alias("b"))
-    edges = edges.join(nodes.select("graph", F.col("id").alias("b")), ["graph", "b"], "left_semi").select("graph", "a", "b")
+    far = lines.select("graph", "id", "top", F.explode(F.when(F.col("even"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("step"))
+    edges = far.where(F.col("id") + F.col("step") <= F.col("top")).select("graph", F.col("id").alias("a"), (F.col("id") + F.col("step")).alias("b"))
     return G.plans(nodes, edges)
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 import struct
 
 import numpy as np
@@ -434,3 +435,32 @@ def test_chroma_does_not_depend_on_the_order_of_rows(spark):
     for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 3, 0, 1)):
         px = spark.createDataFrame([rows[k] for k in order], "image_id long, y int, x int, r int, g int, b int").coalesce(1)
         assert [tuple(r) for r in M.ycbcr420(px, True)[1].collect()] == [(1, 0, 0, 510, 512)]
+
+
+def test_plans_of_many_graphs(spark):
+    """Graphs of all sorts, in batches smaller than some of them: as one by one; and planned in one step only."""
+    rng, nodes, edges, want = random.Random(4), [], [], {}
+    for g in range(60):
+        n = rng.choice((1, 2, 5, 40))
+        own = [f"n{k:02d}" for k in range(n)]
+        shuffled = rng.sample(own, n)
+        links = sorted({(shuffled[i], shuffled[j]) for i, j in ((rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)) if i < j})
+        nodes += [(g, k) for k in own]
+        edges += [(g, a, b) for a, b in links]
+        order = G.toposort(own, links)
+        slots, _ = G._slots(order, links, dict.fromkeys(own, 1))
+        for k, v in enumerate(order):
+            want[g, v] = (k, max([order.index(b) for a, b in links if a == v], default=k) + 1, slots[v])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        made = G.plans(spark.createDataFrame(rng.sample(nodes, len(nodes)), "graph long, id string"), spark.createDataFrame(edges, "graph long, a string, b string"))
+        assert {(r.graph, r.id): (r.place, r.stop, r.slot) for r in made.collect()} == want
+        pairs = sorted(tuple(r) for r in G.interference(made).collect())
+        broken = G.plans(spark.createDataFrame([(1, 1)], "graph long, id long"), spark.createDataFrame([(1, 1, 2)], "graph long, a long, b long"))
+        with pytest.raises(Exception, match="BAD_INDEX"):
+            broken.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    live = [(g, a, p, s) for (g, a), (p, s, _) in want.items()]
+    assert pairs == sorted((g, a, b) for g, a, p, s in live for h, b, q, _ in live if g == h and p < q < s)
+    assert python_steps(Q.plan_interference(spark, SF))[0] == 1

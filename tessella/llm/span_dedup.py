@@ -128,7 +128,7 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the ranges ``gone``, the removed ranges, and the number of sentences that they cover.
+    """The text without the ranges ``gone``, the removed ranges, and the number of sentences that lose words to them.
 
     White space after a removed range goes too; after one that starts inside a sentence, that before it does.
     """
@@ -148,15 +148,15 @@ def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, list[tuple[int, in
             else:
                 ranges.append((words[a - 1][1], words[b - 1][1]))
     ranges = _joined(ranges)
-    out, at, k, covered = [], 0, 0, 0
+    out, at, k, touched = [], 0, 0, 0
     for a, b in ranges:
         out.append(text[at:a])
         at = b
     for a, b in own:
-        while k < len(ranges) and ranges[k][1] < b:
+        while k < len(ranges) and ranges[k][1] <= a:
             k += 1
-        covered += k < len(ranges) and ranges[k][0] <= a
-    return "".join([*out, text[at:]]), ranges, covered
+        touched += k < len(ranges) and ranges[k][0] < b
+    return "".join([*out, text[at:]]), ranges, touched
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
@@ -167,8 +167,9 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered by any other are removed. A text of fewer sentences is one run. Apart from sentences, stretches
     of ``STRETCH`` words are compared in the same way, and the words that they cover are removed: each
     repeated passage of ``STRETCH + NEAR - 1`` = 51 words or more loses all but ``NEAR - 1`` words at most
-    at either end, however it is cut into sentences and lines. ``n_removed`` counts the sentences of which
-    nothing stays; ``removed`` are the ranges ``start:end`` in code points of the source. A null text
+    at either end, however it is cut into sentences and lines. ``n_removed`` counts the sentences that are
+    removed in whole or in part, so it is 0 only for a text that stays as it is; ``removed`` are the ranges
+    ``start:end`` in code points of the source. A null text
     counts as empty. Rows that repeat an id are the same document; a document with a null id is neither
     compared nor changed. An empty table gives no rows; other columns are not read.
     """
@@ -178,8 +179,8 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                new, ranges, covered = cut(text or "", [(r["a"], r["b"]) for r in gone or []])
-                rows.append((len(sentences(text or "")), covered, ",".join(f"{a}:{b}" for a, b in ranges), new, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()))
+                new, ranges, touched = cut(text or "", [(r["a"], r["b"]) for r in gone or []])
+                rows.append((len(sentences(text or "")), touched, ",".join(f"{a}:{b}" for a, b in ranges), new, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()))
             columns = zip(*rows, strict=True)
             yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.string()] * 3, strict=True)]], names=["doc_id", "n_sentences", "n_removed", "removed", "text", "text_sha256"])
 

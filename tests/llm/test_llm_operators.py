@@ -579,6 +579,25 @@ def test_spans_against_brute_force(spark):
         assert r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_sentences_cut_in_part_are_counted(spark):
+    """A repeated passage that holds no whole sentence, and one that ends inside others: counted wherever words go."""
+    rng = random.Random(21)
+    some = lambda n: " ".join(rng.choices(WORDS, k=n))
+    one, three = some(60), f"{some(20)}. {some(20)}. {some(20)}"
+    docs = [(k, f"Before it. {some(8)} {part} {some(8)}. After it.") for k, part in enumerate([one, one, three, three])]
+    docs += [(4, f"{some(9)}. {some(9)}."), (5, ""), (6, None)]
+    got = {r.doc_id: r for r in D.span_dedup(table(spark, docs)).collect()}
+    assert [(got[k].n_sentences, got[k].n_removed) for k in range(7)] == [(3, 0), (3, 1), (5, 0), (5, 3), (2, 0), (0, 0), (0, 0)]
+    for r in got.values():
+        assert (r.n_removed > 0) == (r.removed != "")
+    # Ranges that end where a sentence starts, or start where one ends, don't touch it.
+    text = "one two. three four. five six."
+    assert D.cut(text, [(1, 2)]) == ("one two. five six.", [(9, 21)], 1)
+    at = D._WORD_PLACE
+    assert D.cut(text, [(at + 1, at + 2)]) == ("one three four. five six.", [(3, 8)], 1)
+    assert D.cut(text, [(at + 1, at + 5)]) == ("one six.", [(3, 25)], 3)
+
+
 def test_pii_many_addresses_take_linear_time():
     text = "".join(f"a{k}@mail.org, " for k in range(20_000)) + "jane [at] mail.org"
     began = time.time()

@@ -9,6 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Shares that the frames of a session are dealt over. Clients are few beside what they get, so copies of them cost little.
+SHARES = 32
+
+#: Tasks for each core, given as a number, since adaptive execution would join tasks by what they read, not by what they make.
+TASKS_PER_CORE = 4
+
 
 def debounce(events: DataFrame, keys: list[str], gap: str, watermark: str | None = None) -> DataFrame:
     """One row per burst of events of a key that are at most ``gap`` apart: its first and last time, and its number of events.
@@ -130,8 +136,18 @@ def active(events: DataFrame, session: str, is_replace: Column) -> DataFrame:
 
 
 def broadcast(frames: DataFrame, clients: DataFrame, session: str) -> DataFrame:
-    """Each frame once for every client of its session."""
-    return frames.join(clients, session)
+    """Each frame once for every client of its session.
+
+    The result grows with frames times clients and is as large as it is; a session's frames are dealt by hash over ``SHARES``
+    shares, each of which has all its clients, so that sessions few or large keep all cores busy. Merging reads a
+    session's clients in a row and lets them spill, where a hash table would be walked entry by entry for each frame.
+    """
+    tasks = TASKS_PER_CORE * frames.sparkSession.sparkContext.defaultParallelism
+    hashed = [c for c, kind in frames.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = frames.withColumn("_share", F.pmod(F.xxhash64(*hashed), F.lit(SHARES)).cast("int"))
+    copies = clients.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    keys = [session, "_share"]
+    return dealt.repartition(tasks, *keys).join(copies.repartition(tasks, *keys).hint("merge"), keys).drop("_share")
 
 
 def cached(requests: DataFrame, entries: DataFrame, host: str) -> DataFrame:

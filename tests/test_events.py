@@ -83,5 +83,24 @@ def test_subscriptions_and_their_bounds(spark):
     assert got == [(1, "n", "out", 256, 1), (2, "n", "out", 256, 5), (4, "b", "in", 2, 60)]
 
 
+def test_broadcast_spreads_a_session(spark):
+    """One session has nearly all frames: its rows are made in many tasks, also where clients are too many to be sent to all."""
+    frames = [(k, None if k % 50 == 0 else 7 if k % 10 else k % 3, {"k": k}) for k in range(400)] + [(1, 7, {"k": 1})]
+    clients = [(c, None if c == 0 else 7 if c % 4 else c % 3) for c in range(60)]
+    left = spark.createDataFrame(frames, "event_id long, session long, payload map<string,long>")
+    right = spark.createDataFrame(clients, "client long, session long")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = E.broadcast(left, right, "session").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    want = sorted((s, e, p["k"], c) for e, s, p in frames for c, t in clients if s is not None and s == t)
+    assert sorted((r.session, r.event_id, r.payload["k"], r.client) for r in got) == want
+    assert got[0].__fields__ == ["session", "event_id", "payload", "client", "task"]
+    tasks = [r.task for r in got if r.session == 7]
+    assert max(map(tasks.count, set(tasks))) < len(tasks) / 4
+
+
 def test_gap_of_a_rate():
     assert [E.frame_gap_ms(f) for f in (1, 3, 60)] == [1000, 333, 16]
